@@ -1,0 +1 @@
+"""Versioned change-log analytics on Spark DataFrames."""
