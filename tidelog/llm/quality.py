@@ -6,6 +6,8 @@ evaluated once; there is no shuffle, and Catalyst merges the layers into one sta
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -101,8 +103,6 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def _private(metric: str) -> str:
     """The metric over the private column names; dividing by zero gives null, which breaks no rule."""
-    import re
-
     metric = re.sub(r"\b(n_\w+|word_chars)\b", r"__\1", metric)
     return re.sub(r"/ (\w+)", r"/ nullif(\1, 0)", metric)
 
@@ -123,6 +123,18 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     return df.drop(*(c for c in df.columns if c.startswith("__") and c not in docs.columns))
 
 
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of docs that break no rule, with their columns.
+
+    How many rows were judged and kept is observed as the metrics judged and kept. Observing
+    also holds the filter above the layers: pushed below them, the optimiser would write every
+    layer out again at each use, and the expression would grow exponentially.
+    """
+    judged = judge(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text_col}`").alias("__input")), rules, "__input")
+    seen = judged.observe(f"quality-rules-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("judged"), F.count_if("kept").alias("kept"))
+    return seen.where("kept").select("__row.*")
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(common.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *MEASURES, "base_failed", "kept")
 
