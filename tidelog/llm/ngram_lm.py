@@ -41,12 +41,13 @@ def _scores(texts, order: int, alpha: float, keys: np.ndarray, totals: np.ndarra
     doc = np.repeat(np.arange(len(counts)), counts)
     all_words = int(totals[np.searchsorted(keys, ALL_WORDS)])
     others = (all_words - counts)[doc]
+    known = np.append(totals, 0)
     held: list[np.ndarray] = []  # for each n the count in other documents of the n-gram ending at each word
     for g in grams:
         slot = np.searchsorted(keys, g)
-        slot[g == 0] = 0
-        _, inverse, own = np.unique(doc * len(keys) + slot, return_inverse=True, return_counts=True)
-        count = totals[slot] - own[inverse]
+        slot[g == 0] = len(keys)  # a slot of their own
+        _, inverse, own = np.unique(doc * (len(keys) + 1) + slot, return_inverse=True, return_counts=True)
+        count = known[slot] - own[inverse]
         count[g == 0] = 0
         held.append(count)
     first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.empty(0, bool)
@@ -58,9 +59,9 @@ def _scores(texts, order: int, alpha: float, keys: np.ndarray, totals: np.ndarra
     log = np.log(1.0 / (others + 1.0)) + (order - 1) * np.log(alpha)
     level = np.zeros(len(doc), dtype=np.int64)
     for n in range(1, order + 1):
-        known = held[n - 1] > 0
-        log[known] = np.log(held[n - 1][known] / before[n - 1][known]) + (order - n) * np.log(alpha)
-        level[known] = n
+        hit = held[n - 1] > 0
+        log[hit] = np.log(held[n - 1][hit] / before[n - 1][hit]) + (order - n) * np.log(alpha)
+        level[hit] = n
     total = np.bincount(doc, weights=log, minlength=len(counts))
     full = np.bincount(doc[level == order], minlength=len(counts))
     return pd.DataFrame({"n_words": counts, "n_full": full, "log_score": total})
