@@ -117,3 +117,28 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
     cuts = common.materialize(_cuts(narrow, WEIGHTS, MOST_EPOCHS), "mix-cuts")
     mixed = _taken(keyed.withColumn("doc_id", F.col("__id")), cuts)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+_WEIGHTS = ", ".join(f"{w:.1f}" for w in WEIGHTS)
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(octet_length(encode(text)), 0) AS bytes,
+             length(text) - length(translate(text, '#*$%&|<>{{}}[]@0123456789', '')) AS odd FROM documents),
+k AS (SELECT doc_id, source, size, -ln((CAST(CAST('0x' || substr(md5('9/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || CAST(bytes AS VARCHAR)), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0)
+             / (CASE WHEN size > 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + CAST(odd AS DOUBLE) / size) ELSE 1.0::DOUBLE END) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY 1),
+w AS (SELECT *, CAST([{_WEIGHTS}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight, CAST({MOST_EPOCHS} * source_size AS DOUBLE) AS cap FROM s),
+f AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(weight) OVER () AS all_weight,
+        coalesce(sum(cap) OVER o, 0) AS capped, coalesce(sum(weight) OVER o, 0) AS capped_weight
+      FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, (total - capped) / (all_weight - capped_weight) AS level FROM f),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM v WHERE level * weight < cap ORDER BY cap / weight, level LIMIT 1) * weight, cap)) AS target FROM v),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+q AS (SELECT *, CAST(round(target - epochs * source_size) AS BIGINT) AS rest FROM p),
+r AS (SELECT k.*, source_size, target, epochs, rest, rank() OVER (PARTITION BY k.source ORDER BY key, doc_id, size) AS place,
+        rest - coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains
+      FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source),
+c AS (SELECT *, min(CASE WHEN remains > 0 AND remains <= size THEN place END) OVER (PARTITION BY source) AS cut,
+        min(CASE WHEN remains > 0 AND remains <= size THEN remains END) OVER (PARTITION BY source) AS last FROM r),
+m AS (SELECT *, CASE WHEN rest <= 0 OR place > cut THEN 0 WHEN place = cut THEN last ELSE size END AS more FROM c)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + more AS BIGINT) AS taken, CAST(epochs + (size > 0 AND 2 * more >= size)::INTEGER AS INTEGER) AS copies FROM m
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_stupid_backoff": ngram_lm.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op6_extendible_shards": sharding.ORACLE, "op8_quality_rules": quality.ORACLE}
+    return {"op3_stupid_backoff": ngram_lm.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op6_extendible_shards": sharding.ORACLE, "op8_quality_rules": quality.ORACLE, "op9_mix_sources": mixing.ORACLE}
