@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from tidelog.llm import avi, blocks, bpe, common, graph, mixing, ngram_lm, pii, quality, secret_scan, sharding, simhash, substring_dedup
+from tidelog.llm import avi, blocks, bpe, common, graph, jaccard, mixing, ngram_lm, pii, quality, secret_scan, sharding, simhash, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, hash string, taken string"
 VOCAB = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -146,6 +146,49 @@ def test_one_of_each_group_stays(docs, nothing):
     assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(nothing).count() == 0
 
 
+def near_copies(seed=4):
+    """Texts around similarity 0.8, on both sides, an exact copy of each kind, short texts and a line that all hold."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    line, texts = "the line that all of these texts do hold in common".split(), []
+    for _ in range(40):
+        base = fresh(rng.randrange(40, 300)) + line
+        texts.append(base)
+        for _ in range(3):
+            other = list(base)
+            for at in rng.sample(range(len(other)), rng.randrange(1, max(2, len(other) // 25))):
+                other[at] = f"n{rng.randrange(5000)}"
+            texts.append(other)
+    texts += [texts[0], ["only", "three", "words"], ["only", "three", "words"], ["Only", "three", "WORDS"], ["other"]]
+    return [(k, " ".join(w)) for k, w in enumerate(texts)]
+
+
+def similar_groups(texts):
+    sets = {}
+    for k, t in texts:
+        w = t.lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    group = {k: k for k in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while True:
+        before = dict(group)
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            return group
+
+
+@pytest.mark.parametrize(("chunk", "batch", "sample"), [(1 << 24, 1 << 24, 1 << 24), (4000, 1, 9000)])
+def test_near_copies_are_those_of_jaccard(spark, monkeypatch, chunk, batch, sample):
+    for name, value in (("CHUNK_BYTES", chunk), ("BATCH_BYTES", batch), ("SAMPLE_BYTES", sample)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = near_copies()
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    group = similar_groups(texts)
+    assert {r.doc_id: r.component_id for r in jaccard.components(docs).collect()} == group
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(k for k in group if group[k] == k)
+
+
 # ---- 3 ----
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm import common, graph
+from tidelog.llm import common, graph, jaccard
 
 SEED = 42
 #: A node with more leaves than this is cut into chunks of about this size.
@@ -244,26 +244,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, agree: i
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of near copies with a Jaccard similarity of 0.8 or more over 5-word shingles, most differ in so many bits at most.
-STAGE_BITS = 6
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, budget: int = STAGE_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near-duplicates of a document that stays: of each component the row of least id.
+def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near copies (Jaccard similarity of 0.8 or more, verified) of a document that stays: of each component the row of least id.
 
+    Fingerprints don't hold that line at any budget, so candidates are those of jaccard.
     Rows without words, or with a null id, stay all. Of rows with equal ids and equal
-    fingerprints one stays. Empty in, empty out.
+    texts one stays. Empty in, empty out.
     """
     text = F.col(f"`{text_col}`")
-    found = near_duplicates(docs.where(text.rlike(common.WORD)).select(id_col, text_col), shingle, budget, 2, id_col, text_col)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    found = jaccard.components(docs.where(text.rlike(common.WORD)).select(id_col, text_col), shingle, id_col, text_col)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__t")).distinct()
+    gone = common.materialize(gone, "gone")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    rest = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(text).alias("__text")).join(dropped, F.col("__id") == F.col("__gone"), "left_anti")
-    first = rest.where(F.col("__id").isNotNull() & F.col("__text").isNotNull())
-    again = first.groupBy("__id", "__text").count().where("count > 1")
-    once = rest.join(again.select(F.col("__id").alias("__i"), F.col("__text").alias("__t")), (F.col("__id") == F.col("__i")) & (F.col("__text") == F.col("__t")), "left_semi").dropDuplicates(["__id", "__text"])
-    others = rest.join(again.select(F.col("__id").alias("__i"), F.col("__text").alias("__t")), (F.col("__id") == F.col("__i")) & (F.col("__text") == F.col("__t")), "left_anti")
-    return others.union(once).select("__row.*")
+    keyed = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(text).alias("__text"))
+    again = keyed.where(F.col("__id").isNotNull() & F.col("__text").isNotNull()).groupBy(F.col("__id").alias("__i"), F.col("__text").alias("__t")).count().where("count > 1")
+    again = common.materialize(again.select("__i", "__t"), "again")
+    same = (F.col("__id") == F.col("__i")) & (F.col("__text") == F.col("__t"))
+    rest = keyed.join(gone, same, "left_anti")
+    once = rest.join(again, same, "left_semi").dropDuplicates(["__id", "__text"])
+    return rest.join(again, same, "left_anti").union(once).select("__row.*")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
