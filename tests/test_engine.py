@@ -47,6 +47,19 @@ def test_transfer_to_oneself_adds(spark):
     assert {r.account: r.balance for r in txn.transfer_fold(moves, ["a", "b"], 10).collect()} == {"a": 15, "b": 10}
 
 
+def test_transfers_of_all_events(spark):
+    balance = [1000] * 4
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id").orderBy("event_id").collect()
+    assert len(events) > 500
+    for e in events:
+        src, dst, amount = e.user_id % 4, e.user_id // 4 % 4, e.event_id % 700
+        if balance[src] >= amount:
+            left, got = balance[src] - amount, balance[dst] + amount
+            balance[src] = left
+            balance[dst] = got
+    assert {r.account: r.balance for r in queries.transfer_fold(spark, SF).collect()} == {f"acct/{k}": b for k, b in enumerate(balance)}
+
+
 def test_aborted_attempts_do_not_count(spark):
     tries = spark.createDataFrame([("k", 10, 0), ("k", 20, 5), ("k", 30, 12)], "key string, seqno long, snap long")
     assert [r.committed for r in txn.first_committer_wins(tries).orderBy("seqno").collect()] == [True, False, True]

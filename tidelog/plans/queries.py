@@ -224,7 +224,7 @@ def claim_winner(spark, d):
   SELECT 'acct/' || i AS account, b[i + 1] AS balance FROM f, range(0, 4) r(i) WHERE f.ord = 500""")
 def transfer_fold(spark, d):
     account = lambda c: F.concat(F.lit("acct/"), c.cast("string"))
-    moves = table(spark, d, "events").where("event_id < 500").select((F.col("event_id") + 1).alias("ord"), account(F.col("user_id") % 4).alias("src"), account(F.floor(F.col("user_id") / 4) % 4).alias("dst"), (F.col("event_id") % 700).alias("amount"))
+    moves = table(spark, d, "events").select((F.col("event_id") + 1).alias("ord"), account(F.col("user_id") % 4).alias("src"), account(F.floor(F.col("user_id") / 4) % 4).alias("dst"), (F.col("event_id") % 700).alias("amount"))
     return txn.transfer_fold(moves, [f"acct/{k}" for k in range(4)], 1000)
 
 
