@@ -60,6 +60,14 @@ def test_transfers_of_all_events(spark):
     assert {r.account: r.balance for r in queries.transfer_fold(spark, SF).collect()} == {f"acct/{k}": b for k, b in enumerate(balance)}
 
 
+def test_slices_hold_all_rows(spark):
+    segments = {}
+    for e in spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", "user_id").collect():
+        segments.setdefault(e.event_id // 1000, []).append(f"usr/{e.user_id:08}")
+    want = {k: len(v) for k, v in segments.items() if max(v) >= "usr/00000020" and min(v) < "usr/00000025"}
+    assert want and {r.segment: r.n for r in queries.slice_overlap(spark, "/root/testdata/sf0.01").collect()} == want
+
+
 def test_aborted_attempts_do_not_count(spark):
     tries = spark.createDataFrame([("k", 10, 0), ("k", 20, 5), ("k", 30, 12)], "key string, seqno long, snap long")
     assert [r.committed for r in txn.first_committer_wins(tries).orderBy("seqno").collect()] == [True, False, True]

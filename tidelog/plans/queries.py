@@ -346,8 +346,7 @@ def edge_overlay(spark, d):
 
 @_query(EVENT_LOG + ", s AS (SELECT (seqno - 1) // 1000 AS segment, min(key) AS mink, max(key) AS maxk, count(*) AS n FROM log WHERE (seqno - 1) % 97 = 0 GROUP BY 1) SELECT segment, n FROM s WHERE maxk >= 'usr/00000020' AND mink < 'usr/00000025'")
 def slice_overlap(spark, d):
-    rows = event_log(spark, d).where((F.col("seqno") - 1) % 97 == 0)
-    files = rows.groupBy(F.floor((F.col("seqno") - 1) / 1000).alias("segment")).agg(F.min("key").alias("mink"), F.max("key").alias("maxk"), F.count("*").alias("n"))
+    files = event_log(spark, d).groupBy(F.floor((F.col("seqno") - 1) / 1000).alias("segment")).agg(F.min("key").alias("mink"), F.max("key").alias("maxk"), F.count("*").alias("n"))
     return files.where((F.col("maxk") >= "usr/00000020") & (F.col("mink") < "usr/00000025")).select("segment", "n")
 
 
