@@ -324,6 +324,12 @@ def test_secrets(spark, nothing):
     assert secret_scan.scan(nothing).count() == 0 and secret_scan.redact(nothing).count() == 0
 
 
+@pytest.mark.parametrize("size", [256, 257, 342, 5000])
+def test_long_runs_are_candidates(size):
+    run = "".join(random.Random(size).choices("abcdefghijkXYZ0123456789_-", k=size))
+    assert [x[:3] for x in secret_scan.find(f"see {run}.")[1]] == [(4, 3, 4 + size)]
+
+
 # ---- 8 ----
 
 

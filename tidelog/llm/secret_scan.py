@@ -27,8 +27,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more, as [0-9a-f]+
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "token")
 
-#: What the method adds: runs of these characters, so long, of so many bits a character.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,256}(?![A-Za-z0-9+/_-])")
+#: What the method adds: runs of these characters, so long or longer, of so many bits a character.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")
 LEAST_BITS = 3.0
 #: From so many owners on a value is a widely copied example.
 EXAMPLE_OWNERS = 3
