@@ -192,31 +192,42 @@ def test_near_copies_are_those_of_jaccard(spark, monkeypatch, chunk, batch, samp
 # ---- 3 ----
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_stupid_backoff(docs, nothing, order):
+@pytest.mark.parametrize(("order", "held_out"), [(1, True), (2, True), (3, True), (4, True), (1, False), (3, False)])
+def test_stupid_backoff(docs, nothing, order, held_out):
     texts = [split(r[1]) for r in corpus()]
     grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
     total = [sum((grams(w, n) for w in texts), Counter()) for n in range(1, order + 1)]
     words = sum(map(len, texts))
     want = []
     for row, w in zip(corpus(), texts):
-        own, score, full = [grams(w, n) for n in range(1, order + 1)], 0.0, 0
+        own, score, full = [grams(w, n) if held_out else Counter() for n in range(1, order + 1)], 0.0, 0
+        others = words - len(w) * held_out
         held = lambda g: total[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: B023, E731
         for i in range(len(w)):
             s, n = None, min(order, i + 1)
             while n:
                 g = tuple(w[i - n + 1 : i + 1])
                 if held(g) > 0:
-                    s = held(g) / (held(g[:-1]) if n > 1 else words - len(w)) * 0.4 ** (order - n)
+                    s = held(g) / (held(g[:-1]) if n > 1 else others) * 0.4 ** (order - n)
                     full += n == order
                     break
                 n -= 1
-            score += math.log(s if s else 0.4 ** (order - 1) / (words - len(w) + 1))
+            score += math.log(s if s else 0.4 ** (order - 1) / (others + 1))
         want.append((row[0], len(w), full, round(score, 6)))
-    got = ngram_lm.score(docs, order, block_bytes=4000).collect()
+    got = ngram_lm.score(docs, order, held_out=held_out, block_bytes=4000).collect()
     assert ordered((r.doc_id, r.n_words, r.n_full, round(r.log_score, 6)) for r in got) == ordered(want)
     assert all((r.per_word is None) == (r.n_words == 0) for r in got)
-    assert ngram_lm.score(nothing).count() == 0
+    assert ngram_lm.score(nothing, order).count() == 0
+
+
+def test_count_table_joins_without_another_exchange(docs):
+    layout = blocks.Layout(docs, "text", 4000)
+    cells = docs.sparkSession.createDataFrame([(1, 1, [5, 7], [1, 2]), (1, 2, [5], [3]), (2, 2, [9], [1])], ngram_lm.CELLS)
+    assert ordered(ngram_lm.count_table(cells).collect()) == [(1, 5, 4)]
+    assert ordered(ngram_lm._replies(cells).collect()) == [(1, 1, [0], [4]), (2, 1, [0], [4])]
+    with common.settings(docs.sparkSession, {common.CO_PARTITION: "false"}):
+        plan = ngram_lm._replies(cells)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(bucket") <= 2 and "ShuffledHashJoin" in plan and layout.bucket_bits == 7
 
 
 def test_packed_keys():
@@ -226,16 +237,41 @@ def test_packed_keys():
 
 
 def test_word_hashes_cut_into_pieces(monkeypatch):
-    data = " ".join(f"word{k % 50}" for k in range(3000)).encode()
+    data = " ".join(f"word{k % 50}" + "x" * (k % 25) for k in range(3000)).encode()
     whole = common.word_hashes(data)
     monkeypatch.setattr(common, "PIECE", 100)
-    assert (common.word_hashes(data) == whole).all() and len(set(whole.tolist())) == 50
+    assert (common.word_hashes(data) == whole).all() and len(set(whole.tolist())) == len(set(data.split()))
+    assert not set(common.word_hashes(data, 1).tolist()) & set(whole.tolist())
+    runs = {n: common.gram_hashes(whole, n) for n in (1, 2, 3, 5, 8, 35)}
+    words = data.split()
+    for n, h in runs.items():
+        assert len(h) == len(words) - n + 1 and len(set(h.tolist())) == len({tuple(words[i : i + n]) for i in range(len(h))})
+
+
+def thue_morse(n, a="a", b="b"):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out[:n]
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_patterned_words_do_not_collide(spark, size):
+    """Words for which any polynomial hash modulo 2^64 gives one value."""
+    one, two = thue_morse(size), thue_morse(size, "b", "a")
+    texts = [(k, " ".join([w if i == 17 else f"c{i}" for i in range(35)])) for k, w in enumerate((one, two))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs).collect()] == [0, 0]
+    a, b = common.word_hashes(f"{one} {two}".encode()).tolist()
+    assert a != b
+    scored = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string"), 1).collect()}
+    assert scored[1].n_full == scored[3].n_full == 1 and scored[2].n_full == 0
 
 
 # ---- 4 ----
 
 
-@pytest.mark.parametrize(("window", "batches"), [(35, 3), (10, 1), (8, 5)])
+@pytest.mark.parametrize(("window", "batches"), [(35, 3), (10, 1), (8, 5), (1, 2)])
 def test_repeated_windows(docs, nothing, window, batches):
     texts = [split(r[1]) for r in corpus()]
     count = Counter(tuple(w[i : i + window]) for w in texts for i in range(len(w) - window + 1))
@@ -248,14 +284,31 @@ def test_repeated_windows(docs, nothing, window, batches):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
-def test_index_meets_history_and_compacts(spark, tmp_path):
-    index = substring_dedup.WindowIndex(spark, f"file://{tmp_path}/index")
-    batch = lambda keys: spark.createDataFrame(list(blocks.cells(0, np.array(keys, dtype=np.uint64), np.ones(len(keys), np.uint8), 3)), blocks.CELLS)
-    met = lambda df: sorted(k for r in df.collect() for k in blocks.unpack(r["keys"]).tolist())
-    assert met(index.append(batch([1, 5, 1 << 63]))) == []
-    assert met(index.append(batch([5, 6]))) == [5]
-    assert [size for _, size in index.runs] == [2]
-    assert met(index.append(batch([6, 99, 1 << 63]))) == [6, 1 << 63]
+def test_index_outlives_calls_and_compacts(spark, tmp_path):
+    """Deliveries one after the other, the index opened anew each time: windows of earlier ones go, earlier results don't change."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    shared, window, seen = fresh(60), 35, Counter()
+    for k in range(5):
+        batch = [fresh(50) + shared[: 34 + k] + fresh(20), fresh(80), shared if k == 3 else fresh(40)]
+        index = substring_dedup.WindowIndex(spark, f"file://{tmp_path}/index", fanout=2)
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(batch)], "doc_id long, text string")
+        got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, window, index=index, block_bytes=500).collect()}
+        now = Counter(tuple(w[i : i + window]) for w in batch for i in range(len(w) - window + 1))
+        for i, w in enumerate(batch):
+            starts = [j for j in range(len(w) - window + 1) if now[tuple(w[j : j + window])] > 1 or seen[tuple(w[j : j + window])]]
+            assert got[i] == len({p for j in starts for p in range(j, j + window)})
+        seen += now
+        assert sorted(n for _, n in index.runs()) == {0: [1], 1: [2], 2: [1, 2], 3: [4], 4: [1, 4]}[k]
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(docs, window, index=substring_dedup.WindowIndex(spark, f"file://{tmp_path}/other", 46))
+
+
+def test_equal_keys_are_told_apart_by_their_checks():
+    keys, check = np.array([3, 3, 3, 9], dtype=np.uint64), np.array([1, 2, 5, 1], dtype=np.uint32)
+    run, run_check = np.array([3, 3, 9], dtype=np.uint64), np.array([2, 5, 2], dtype=np.uint32)
+    assert substring_dedup._in(keys, check, run, run_check).tolist() == [False, True, True, False]
+    assert substring_dedup._in(keys, None, run[:0], None).tolist() == [False] * 4
 
 
 # ---- 5 ----

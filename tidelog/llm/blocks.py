@@ -1,18 +1,18 @@
-"""Corpus counts of 64-bit keys, asked for and answered in packed form.
+"""Documents dealt into blocks of a few MB, and sorted sets of 64-bit keys in few bytes.
 
-Documents are dealt into blocks of a few MB by a hash of the row. A block sends each key that
-it holds once, with its count, packed by key range (bucket); a bucket adds up what all blocks
-sent and answers each block in the order of its keys. So a key that every document holds
-arrives once a block, no group grows with one key's frequency, and a key costs 8 to 12 bytes
-instead of a row. Blocks and buckets follow from the data alone, so any task can be rerun.
+A block's documents travel together, compressed, and each key that a block holds is counted
+within it first: a key that every document holds then arrives once a block, and no group grows
+with one key's frequency. Keys are dealt by their top bits (buckets); both numbers follow from
+the data alone, so any task can be rerun.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +20,56 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 4 << 20
 
 
+def pack_docs(ids: list[int | None], texts: list[bytes]) -> bytes:
+    """Ids and texts as one compressed value."""
+    head = np.array([len(ids)], dtype="<i8").tobytes()
+    known = np.array([i is not None for i in ids], dtype=np.uint8)
+    numbers = np.array([i or 0 for i in ids], dtype="<i8")
+    sizes = np.array([len(t) for t in texts], dtype="<i8")
+    return zstandard.compress(b"".join((head, known.tobytes(), numbers.tobytes(), sizes.tobytes(), *texts)), 1)
+
+
+def unpack_docs(blobs) -> tuple[list[int | None], list[bytes]]:
+    """The documents of all these values, sorted, so that their order doesn't depend on that of the values."""
+    rows = []
+    for blob in blobs:
+        data = zstandard.decompress(bytes(blob))
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        known = np.frombuffer(data, np.uint8, n, 8)
+        numbers = np.frombuffer(data, "<i8", n, 8 + n).tolist()
+        ends = np.cumsum(np.frombuffer(data, "<i8", n, 8 + 9 * n)) + 8 + 17 * n
+        starts = np.concatenate(([8 + 17 * n], ends[:-1]))
+        rows += [(i if k else None, data[a:b]) for k, i, a, b in zip(known, numbers, starts.tolist(), ends.tolist())]
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return [r[0] for r in rows], [r[1] for r in rows]
+
+
 class Layout:
     """How many blocks and buckets a corpus takes."""
 
     def __init__(self, docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES):
         total = docs.select(F.sum(F.octet_length(f"`{text_col}`").cast("long")).alias("n")).first().n or 0
         self.blocks = max(1, -(-total // block_bytes))
-        self.bucket_bits = max(3, (self.blocks // 4).bit_length())
+        self.bucket_bits = max(7, (self.blocks // 4).bit_length())
 
     def deal(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(block int, doc_id long, text binary); null text is empty."""
+        """(block int, blob binary): the rows of docs, several to a blob; null text is empty."""
         text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
         rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-        return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.blocks)).cast("int").alias("block"), "doc_id", "text")
+        rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.blocks)).cast("int").alias("block"), "doc_id", "text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                block = batch.column(0).to_numpy()
+                ids, texts = batch.column(1), batch.column(2)
+                order = np.argsort(block, kind="stable")
+                cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+                    mine = pa.array(order[a:b])
+                    blob = pack_docs(ids.take(mine).to_pylist(), texts.take(mine).to_pylist())
+                    yield pa.RecordBatch.from_arrays([pa.array([int(block[order[a]])], pa.int32()), pa.array([blob], pa.binary())], names=["block", "blob"])
+
+        return rows.mapInArrow(run, "block int, blob binary")
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -55,46 +92,9 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
-CELLS = "bucket int, block int, keys binary, extra binary"
-
-
-def cells(block: int, keys: np.ndarray, extra: np.ndarray, bits: int) -> Iterator[tuple]:
-    """The rows of a block's sorted unique keys, one a bucket, with one extra value a key."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[k], cuts[k + 1]
-        yield int(k), block, pack(keys[a:b]), extra[a:b].tobytes()
-
-
-def ask(dealt: DataFrame, keys_of: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
-    """The cells of every block: keys_of gives a block's sorted unique keys and an extra for each."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, extra = keys_of(rows)
-        return pd.DataFrame(cells(int(rows["block"].iloc[0]), keys, extra, bits), columns=["bucket", "block", "keys", "extra"])
-
-    return dealt.groupBy("block").applyInPandas(run, CELLS)
-
-
-def answer(asked: DataFrame, reply: Callable[[list[np.ndarray], list[bytes]], list[bytes]]) -> DataFrame:
-    """(block, bucket, reply binary): reply gets the keys and extras of all of a bucket's cells."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "reply": reply([unpack(b) for b in rows["keys"]], list(rows["extra"]))})
-
-    return asked.groupBy("bucket").applyInPandas(run, "block int, bucket int, reply binary")
-
-
-def totals(keys: list[np.ndarray], extras: list[bytes]) -> list[bytes]:
-    """For each cell the corpus counts of its keys (uint32 in, int64 out)."""
-    everything = np.concatenate(keys)
-    counts = np.concatenate([np.frombuffer(e, dtype=np.uint32) for e in extras]).astype(np.int64)
-    order = np.argsort(everything, kind="stable")
-    ordered = everything[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    sums = np.add.reduceat(counts[order], first)
-    total = np.empty(len(everything), dtype=np.int64)
-    total[order] = np.repeat(sums, np.diff(np.append(first, len(ordered))))
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return [part.tobytes() for part in np.split(total, cuts)]
+def cuts(keys: np.ndarray, bits: int, of: int = 64) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) for the buckets that sorted keys of `of` bits fall into by their top bits; none is visited in vain."""
+    bucket = keys >> np.uint64(of - bits)
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.empty(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+        yield int(bucket[a]), a, b

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +35,56 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends, and a lost executor costs nothing."""
+#: Drops the shuffle files of an execution when it ends, rather than when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Lets two sides dealt by one column be joined by it and more columns without another exchange.
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+#: From so many groups in a task on, collected lists are sorted together rather than hashed.
+HASHED_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for as long as the block runs."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, label: str, groups: int = 128) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends, and a lost executor costs nothing.
+
+    Its shuffle files go as soon as it is written; groups is how many lists a task may collect
+    at a time before it sorts. `discard` deletes what is no longer needed;
+    `release` deletes all that this application wrote, once the results have been taken.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    with settings(spark, {CLEANUP: "true", CO_PARTITION: "false", HASHED_GROUPS: str(groups)}):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/tidelog-{spark.sparkContext.applicationId}"
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialize wrote for these frames; nothing may read them again."""
+    for df in frames:
+        delete_path(df.sparkSession, df._scratch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every intermediate that this application has written. Results that still read them must have been taken."""
+    delete_path(spark, _own_folder(spark))
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -47,41 +93,36 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there isn't one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 # ---- vectorised word hashing -------------------------------------------------------------
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_MULT, -1, 1 << 64)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _IS_GAP = np.zeros(256, dtype=bool)
 _IS_GAP[[0x20, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = 1 << max(16, n - 1).bit_length() if n > 65536 else 65536
-        up = np.full(size, _MULT, dtype=np.uint64)
-        down = np.full(size, _INVERSE, dtype=np.uint64)
-        up[0] = down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.cumprod(up), np.cumprod(down)
-    return _POWERS["up"], _POWERS["down"]
+#: The low k bytes of a word of eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -95,41 +136,86 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 PIECE = 1 << 20
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of a UTF-8 text, in order."""
+def word_hashes(data: bytes, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of every word of a UTF-8 text, in order; another seed gives an independent one.
+
+    Words of up to 16 bytes go through two rounds of a bijective mixer, longer ones through XXH64,
+    so that no pattern of letters makes long words collide.
+    """
     starts, ends = word_spans(data)
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
     if len(data) <= PIECE:
-        return _hashes(data, starts, ends)
+        return _hashes(data, starts, ends, seed)
     out, at = [], 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE)))
         base = int(starts[at])
-        out.append(_hashes(data[base : int(ends[to - 1])], starts[at:to] - base, ends[at:to] - base))
+        out.append(_hashes(data[base : int(ends[to - 1])], starts[at:to] - base, ends[at:to] - base, seed))
         at = to
     return np.concatenate(out)
 
 
-def _hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[np.frombuffer(data, dtype=np.uint8)] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def _hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    size = ends - starts
+    eights = np.ndarray(len(data) + 9, dtype="<u8", buffer=data + bytes(16), strides=(1,))  # the eight bytes from each place on
+    salt = np.uint64(seed * 0x9E6C63D0876A9A4B + 0x2545F4914F6CDD1D & (1 << 64) - 1)
+    out = mix((eights[starts] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD[0] + salt)
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        out[more] = mix(out[more] * _ODD[1] + (eights[starts[more] + 8] & _LOW[np.minimum(size[more] - 8, 8)]))
+        for k in more[size[more] > 16].tolist():
+            out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]], seed)
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every run of n words, from the words' hashes."""
+    """A 64-bit hash of every run of n words, from the words' hashes: runs of 1, 2, 4, ... words are joined and mixed at each join."""
     count = len(words) - n + 1
     if count <= 0:
         return np.empty(0, dtype=np.uint64)
-    total = np.zeros(count, dtype=np.uint64)
-    for k in range(n):
-        total = total * np.uint64(_MULT) + words[k : k + count]
-    return mix(total + np.uint64(n))
+    level, out, done = words, None, 0
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            part = level[done : done + count]
+            out = part if out is None else mix(out * _ODD[1] + part)
+            done += 1 << k
+        if n >> (k + 1):
+            level = mix(level[: -(1 << k)] * _ODD[2] + level[1 << k :])
+    return mix(out + np.uint64(n))
 
 
 def binary_values(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
     """The bytes of each row of a binary column; null is empty."""
     for value in column:
         yield value.as_py() or b""
+
+
+# ---- hot keys ------------------------------------------------------------------------------
+
+#: A key with more than this share of the rows is hot, so there are at most its inverse of them; a hot key's rows go to so many tasks.
+HOT_SHARE, HOT_PARTS = 1 / 1000, 64
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined to a table with unique keys, the rows of hot keys dealt over HOT_PARTS tasks by `spread`.
+
+    rows must be materialized, as its keys are counted first. The hot keys are broadcast: by
+    their definition they are 1000 at most. Null keys never match.
+    """
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_rows"))
+    total = rows.count()
+    hot = counts.where(F.col("_rows") > F.lit(max(1000, int(total * HOT_SHARE)))).select(*(F.col(k).alias(f"_hot_{k}") for k in key)).withColumn("_is_hot", F.lit(True))
+    hot = F.broadcast(materialize(hot, "hot-keys"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        on = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in key]
+        cond = on[0]
+        for c in on[1:]:
+            cond = cond & c
+        return df.join(hot, cond, "left").drop(*(f"_hot_{k}" for k in key))
+
+    left = marked(rows).withColumn("_part", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS))).otherwise(0).cast("int")).drop("_is_hot")
+    parts = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(table).withColumn("_part", F.explode(parts)).drop("_is_hot")
+    return left.join(right, [*key, "_part"], how).drop("_part")

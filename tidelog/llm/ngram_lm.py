@@ -1,9 +1,12 @@
-"""Stupid-backoff scores of documents against the counts of all other documents.
-
-Count tables of the 1- to N-grams are partitioned by n-gram hash; each block of documents asks
-them for its n-grams and sums the scores of its documents. A document's own occurrences are
-taken off the counts first: against counts that include it, every n-gram would be known and
-nothing would ever back off.
+"""Stupid-backoff scores of documents from relational n-gram counts.
+
+Exploded n-grams are dealt by hash; grouped, they give the count table, which is partitioned as
+they are, so that joining them back to it needs no further exchange; the counts return to the
+documents and are summed there. Three things keep this small. Each n-gram is counted within a
+block of documents first, so a frequent one arrives once a block and no key is hot. What
+travels is an array of n-grams for each block and hash bucket, exploded behind the exchange.
+And an n-gram of three words or more is asked for only where both n-grams of one word less in
+it are held, as it can't be held otherwise.
 """
 
 from __future__ import annotations
@@ -15,102 +18,196 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import blocks, common
 
-#: The key that counts all words.
-ALL_WORDS = np.uint64(0x9D39247E33776D41)
-
-
-def _grams(texts, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each n the key of the n-gram that ends at each word (0: too early in its text); the words in each text."""
-    words = [common.word_hashes(bytes(t)) for t in texts]
-    counts = np.array([len(w) for w in words], dtype=np.int64)
-    grams = []
-    for n in range(1, order + 1):
-        grams.append(np.concatenate([np.concatenate((np.zeros(min(n - 1, len(w)), dtype=np.uint64), common.gram_hashes(w, n))) for w in words] or [np.empty(0, np.uint64)]))
-    return grams, counts
-
-
-def _asked(texts, order: int) -> tuple[np.ndarray, np.ndarray]:
-    grams, counts = _grams(texts, order)
-    keys, n = np.unique(np.concatenate([g[g != 0] for g in grams]), return_counts=True)
-    at = int(np.searchsorted(keys, ALL_WORDS))
-    return np.insert(keys, at, ALL_WORDS), np.insert(n, at, counts.sum()).astype(np.uint32)
-
-
-def _scores(texts, order: int, alpha: float, keys: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
-    grams, counts = _grams(texts, order)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    all_words = int(totals[np.searchsorted(keys, ALL_WORDS)])
-    others = (all_words - counts)[doc]
-    known = np.append(totals, 0)
-    held: list[np.ndarray] = []  # for each n the count in other documents of the n-gram ending at each word
-    for g in grams:
-        slot = np.searchsorted(keys, g)
-        slot[g == 0] = len(keys)  # a slot of their own
-        _, inverse, own = np.unique(doc * (len(keys) + 1) + slot, return_inverse=True, return_counts=True)
-        count = known[slot] - own[inverse]
-        count[g == 0] = 0
-        held.append(count)
-    first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.empty(0, bool)
-    before = [others]  # the count of the n - 1 words before
-    for h in held[:-1]:
-        shifted = np.roll(h, 1)
-        shifted[first] = 0
-        before.append(shifted)
-    log = np.log(1.0 / (others + 1.0)) + (order - 1) * np.log(alpha)
-    level = np.zeros(len(doc), dtype=np.int64)
-    for n in range(1, order + 1):
-        hit = held[n - 1] > 0
-        log[hit] = np.log(held[n - 1][hit] / before[n - 1][hit]) + (order - n) * np.log(alpha)
-        level[hit] = n
-    total = np.bincount(doc, weights=log, minlength=len(counts))
-    full = np.bincount(doc[level == order], minlength=len(counts))
-    return pd.DataFrame({"n_words": counts, "n_full": full, "log_score": total})
-
-
-def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+#: The n-gram of no words: it is held once for each word of the corpus, and is the context of a single word.
+NO_WORDS = np.uint64(0x9D39247E33776D41)
+CELLS = "bucket int, block int, keys array<bigint>, counts array<int>"
+SCORES = "doc_id long, n_words long, n_full long, log_score double"
+
+
+class _Block:
+    """The n-grams of a block's documents, by the place of their last word."""
+
+    def __init__(self, blobs, bits: int, held_out: bool):
+        self.bits, self.held_out = bits, held_out
+        self.ids, texts = blocks.unpack_docs(blobs)
+        words = [common.word_hashes(t) for t in texts]
+        self.counts = np.array([len(w) for w in words], dtype=np.int64)
+        self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(words)), self.counts)
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        self.held: dict[int, np.ndarray] = {}  # for each n the count of the n-gram that ends at each word, in other documents if held_out
+        self.all_words = 0
+
+    def _keys(self, n: int, at: np.ndarray) -> np.ndarray:
+        """The n-grams that end at these places."""
+        grams = common.gram_hashes(self.words, n)
+        return grams[at - (n - 1)]
+
+    def _places(self, orders: tuple[int, ...]) -> list[np.ndarray]:
+        """For each order the places whose n-gram has to be looked up."""
+        out = []
+        for n in orders:
+            ok = self.place >= n - 1
+            if n > 2:
+                held = self.held[n - 1] > 0
+                ok &= held & np.concatenate(([False], held[:-1]))
+            out.append(np.flatnonzero(ok))
+        return out
+
+    def ask(self, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Sorted distinct keys and their counts in the block; for each order the places, and the key that each has (its number)."""
+        places = self._places(orders)
+        everything = [self._keys(n, at) for n, at in zip(orders, places)]
+        if orders[0] == 1:
+            everything.append(np.array([NO_WORDS]))
+        joined = np.concatenate(everything)
+        order = np.argsort(joined)
+        ordered = joined[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(joined) else np.empty(0, bool)
+        slot = np.empty(len(joined), dtype=np.int64)
+        slot[order] = np.cumsum(new) - 1
+        keys = ordered[new]
+        counts = np.diff(np.append(np.flatnonzero(new), len(joined)))
+        if orders[0] == 1:
+            counts[slot[-1]] = len(self.words)
+        return keys, counts, places, np.split(slot, np.cumsum([len(p) for p in places]))[: len(places)]
+
+    def learn(self, orders: tuple[int, ...], replies: pd.DataFrame) -> None:
+        """Takes the corpus counts of what ask() asked for; a key without reply is held by this block alone."""
+        keys, totals, places, slots = self.ask(orders)
+        start = {bucket: a for bucket, a, _ in blocks.cuts(keys, self.bits)}
+        for bucket, at, total in zip(replies["bucket"], replies["at"], replies["total"]):
+            totals[start[bucket] + np.asarray(at, dtype=np.int64)] = total
+        if orders[0] == 1:
+            self.all_words = int(totals[np.searchsorted(keys, NO_WORDS)])
+        for n, at, slot in zip(orders, places, slots):
+            count = np.zeros(len(self.words), dtype=np.int64)
+            count[at] = totals[slot] - (self._own(at, slot, len(keys)) if self.held_out else 0)
+            self.held[n] = count
+
+    def _own(self, at: np.ndarray, slot: np.ndarray, keys: int) -> np.ndarray:
+        """How often the document of each place holds the key."""
+        pair = self.doc[at] * keys + slot
+        order = np.argsort(pair)
+        ordered = pair[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(pair) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(pair)))
+        own = np.empty(len(pair), dtype=np.int64)
+        own[order] = np.repeat(size, size)
+        return own
+
+    def scores(self, order: int, alpha: float) -> pd.DataFrame:
+        others = np.full(len(self.doc), self.all_words) - (self.counts[self.doc] if self.held_out else 0)
+        back = np.log(alpha)
+        log = (order - 1) * back - np.log(others + 1.0)
+        level = np.zeros(len(self.doc), dtype=np.int64)
+        before = others  # the count of the n - 1 words before
+        for n in range(1, order + 1):
+            held = self.held[n]
+            hit = held > 0
+            log[hit] = np.log(held[hit] / before[hit]) + (order - n) * back
+            level[hit] = n
+            before = np.concatenate(([0], held[:-1]))
+        size = len(self.counts)
+        return pd.DataFrame({
+            "doc_id": pd.array(self.ids, dtype="Int64").to_numpy(dtype=object, na_value=None), "n_words": self.counts,
+            "n_full": np.bincount(self.doc[level == order], minlength=size), "log_score": np.bincount(self.doc, weights=log, minlength=size),
+        })
+
+
+def count_table(cells: DataFrame) -> DataFrame:
+    """(bucket, key, total): the corpus count of every n-gram that more than one block holds, partitioned by hash bucket.
+
+    cells: CELLS rows, dealt by bucket.
+    """
+    counts = _exploded(cells).groupBy("bucket", "key").agg(F.sum("n").alias("total"), F.min("block").alias("a"), F.max("block").alias("b"))
+    return counts.where("a <> b").select("bucket", "key", "total")
+
+
+def _exploded(cells: DataFrame) -> DataFrame:
+    """(bucket, block, at int, key, n): one row for each n-gram of a cell."""
+    return cells.select("bucket", "block", "counts", F.posexplode("keys").alias("at", "key")).select("bucket", "block", "at", "key", F.col("counts")[F.col("at")].alias("n"))
+
+
+def _replies(cells: DataFrame) -> DataFrame:
+    """(block, bucket, at array<int>, total array<bigint>): the counts of a cell's n-grams that other blocks hold as well."""
+    dealt = cells.repartition("bucket")
+    joined = _exploded(dealt).join(count_table(dealt).hint("shuffle_hash"), ["bucket", "key"])
+    return joined.groupBy("block", "bucket").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("total"))
+
+
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool = True, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words long, n_full long, log_score double, per_word double) for every row.
 
     log_score sums ln S over the words: S = c(w1..wn) / c(w1..wn-1) for the longest n <= order
-    whose n-gram other documents hold, times alpha for each order backed off; a word that no other document
-    holds scores alpha^(order - 1) / (words of other documents + 1). n_full counts the words
-    scored at full order. Null or wordless text: 0 words, score 0, per_word null. Repeated rows
-    are documents of their own. An empty table gives an empty table.
+    whose n-gram is held, times alpha for each order backed off; a word that isn't held scores
+    alpha^(order - 1) / (all words + 1). Plain (held_out false), counts are those of the corpus,
+    in which every n-gram of a document is held. With held_out, a variant, a document's own
+    occurrences are taken off all counts, so that it is scored by the other documents. n_full
+    counts the words scored at full order. Null or wordless text: 0 words, score 0, per_word
+    null. Repeated rows are documents of their own. An empty table gives an empty table.
     """
+    if order < 1:
+        raise ValueError("order must be positive")
     layout = blocks.Layout(docs, text_col, block_bytes)
     dealt = layout.deal(docs, id_col, text_col)
-    asked = blocks.ask(dealt, lambda rows: _asked(rows["text"], order), layout.bucket_bits)
-    replies = blocks.answer(asked, blocks.totals)
+    bits = layout.bucket_bits
+    rounds = [tuple(range(1, min(order, 2) + 1)), *((n,) for n in range(3, order + 1))]
+    replies = None
+
+    def block_of(rows: pd.DataFrame, got: pd.DataFrame | None, known: int) -> _Block:
+        block = _Block(rows["blob"], bits, held_out)
+        for k in range(known):
+            block.learn(rounds[k], got[got["round"] == k])
+        return block
+
+    def cells(rows: pd.DataFrame, got: pd.DataFrame | None, k: int) -> pd.DataFrame:
+        names = ["bucket", "block", "keys", "counts"]
+        if not len(rows):
+            return pd.DataFrame(columns=names)
+        keys, counts, _, _ = block_of(rows, got, k).ask(rounds[k])
+        number, keys_, counts_ = int(rows["block"].iloc[0]), keys.view(np.int64), counts.astype(np.int32)
+        return pd.DataFrame([(bucket, number, keys_[a:b], counts_[a:b]) for bucket, a, b in blocks.cuts(keys, bits)], columns=names)
+
+    def later(k: int):
+        return lambda rows, got: cells(rows, got, k)
+
+    for k in range(len(rounds)):
+        if replies is None:
+            asked = dealt.groupBy("block").applyInPandas(lambda rows: cells(rows, None, 0), CELLS)
+        else:
+            asked = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(later(k), CELLS)
+        answered = common.materialize(_replies(asked).withColumn("round", F.lit(k)), "ngram-counts", groups=1 << 20)
+        replies = answered if replies is None else replies.unionByName(answered)
 
     def run(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        keys, _ = _asked(rows["text"], order)
-        totals = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in got.sort_values("bucket")["reply"]])
-        out = _scores(rows["text"], order, alpha, keys, totals)
-        out.insert(0, "doc_id", rows["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-        return out
+        return block_of(rows, got, len(rounds)).scores(order, alpha)
 
-    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, "doc_id long, n_words long, n_full long, log_score double")
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, SCORES)
     return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
 def op3_stupid_backoff(spark, sf_dir: str) -> DataFrame:
-    scored = score(common.documents(spark, sf_dir), order=2, alpha=0.4)
+    scored = score(common.documents(spark, sf_dir), order=3, alpha=0.4)
     return scored.select("doc_id", "n_words", "n_full", F.round("log_score", 4).alias("log_score"), F.round("per_word", 6).alias("per_word"))
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a
+t AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
       FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 n AS (SELECT doc_id, len(w) AS n FROM d), tot AS (SELECT sum(n) AS n FROM n),
-u AS (SELECT b, count(*) AS c FROM t GROUP BY 1), ud AS (SELECT doc_id, b, count(*) AS c FROM t GROUP BY 1, 2),
-g AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2),
-gd AS (SELECT doc_id, a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY 1, 2, 3),
-s AS (SELECT t.doc_id, tot.n - n.n AS others, u.c - ud.c AS cb, ua.c - uad.c AS ca, coalesce(g.c - gd.c, 0) AS cg
-      FROM t CROSS JOIN tot JOIN n USING (doc_id) JOIN u ON u.b = t.b JOIN ud ON ud.doc_id = t.doc_id AND ud.b = t.b
-      LEFT JOIN u ua ON ua.b = t.a LEFT JOIN ud uad ON uad.doc_id = t.doc_id AND uad.b = t.a
-      LEFT JOIN g ON g.a = t.a AND g.b = t.b LEFT JOIN gd ON gd.doc_id = t.doc_id AND gd.a = t.a AND gd.b = t.b),
-r AS (SELECT doc_id, count(*) FILTER (WHERE cg > 0) AS n_full,
-        sum(CASE WHEN cg > 0 THEN ln(cg::DOUBLE / ca) WHEN cb > 0 THEN ln(0.4) + ln(cb::DOUBLE / others) ELSE ln(0.4) + ln(1.0 / (others + 1)) END) AS log_score
+u AS (SELECT c, count(*) AS k FROM t GROUP BY ALL), ud AS (SELECT doc_id, c, count(*) AS k FROM t GROUP BY ALL),
+g AS (SELECT b, c, count(*) AS k FROM t WHERE b IS NOT NULL GROUP BY ALL), gd AS (SELECT doc_id, b, c, count(*) AS k FROM t WHERE b IS NOT NULL GROUP BY ALL),
+h AS (SELECT a, b, c, count(*) AS k FROM t WHERE a IS NOT NULL GROUP BY ALL), hd AS (SELECT doc_id, a, b, c, count(*) AS k FROM t WHERE a IS NOT NULL GROUP BY ALL),
+s AS (SELECT t.doc_id, tot.n - n.n AS others, u.k - ud.k AS c1, u2.k - ud2.k AS b1, coalesce(g.k - gd.k, 0) AS c2, coalesce(g2.k - gd2.k, 0) AS b2, coalesce(h.k - hd.k, 0) AS c3
+      FROM t CROSS JOIN tot JOIN n USING (doc_id) JOIN u ON u.c = t.c JOIN ud ON ud.doc_id = t.doc_id AND ud.c = t.c
+      LEFT JOIN u u2 ON u2.c = t.b LEFT JOIN ud ud2 ON ud2.doc_id = t.doc_id AND ud2.c = t.b
+      LEFT JOIN g ON g.b = t.b AND g.c = t.c LEFT JOIN gd ON gd.doc_id = t.doc_id AND gd.b = t.b AND gd.c = t.c
+      LEFT JOIN g g2 ON g2.b = t.a AND g2.c = t.b LEFT JOIN gd gd2 ON gd2.doc_id = t.doc_id AND gd2.b = t.a AND gd2.c = t.b
+      LEFT JOIN h ON h.a = t.a AND h.b = t.b AND h.c = t.c LEFT JOIN hd ON hd.doc_id = t.doc_id AND hd.a = t.a AND hd.b = t.b AND hd.c = t.c),
+r AS (SELECT doc_id, count(*) FILTER (WHERE c3 > 0) AS n_full,
+        sum(CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / b2) WHEN c2 > 0 THEN ln(0.4) + ln(c2::DOUBLE / b1) WHEN c1 > 0 THEN 2 * ln(0.4) + ln(c1::DOUBLE / others) ELSE 2 * ln(0.4) - ln(others + 1) END) AS log_score
       FROM s GROUP BY 1)
 SELECT n.doc_id, n.n AS n_words, coalesce(n_full, 0) AS n_full, round(coalesce(log_score, 0), 4) AS log_score,
        round(CASE WHEN n.n > 0 THEN coalesce(log_score, 0) / n.n END, 6) AS per_word

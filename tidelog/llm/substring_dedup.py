@@ -1,10 +1,10 @@
 """Repeated word windows, found through a log-structured index of window fingerprints.
 
-Every window of `window` words contains, at a place that its words alone decide, a short
-anchor window (the one of least hash, a minimizer). The index holds the hashes of anchors, one
-in fourteen positions: sorted immutable runs, one Parquet row a key range. A new batch becomes
-a run, is merge-joined with the runs there are, and runs of one size are compacted. Windows
-whose anchor was met again are then verified by 96 bits of hash over all their words.
+The index holds the hashes of all windows that it was given: sorted immutable runs, one Parquet
+row a key range. A new batch becomes a run, is merge-joined with the runs there are, and runs of
+one size are compacted. What the merge-join reports is verified: within one call by 128 bits of
+two independent hashes over all words of a window, taken from the texts again; against the
+batches of earlier calls by the 96 bits that the runs keep of each window.
 """
 
 from __future__ import annotations
@@ -18,228 +18,322 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import blocks, common
 
-#: Words of an anchor.
-ANCHOR = 8
+CELLS = "bucket int, block int, keys binary, extra binary"
 RUN = "bucket int, keys binary, extra binary"
-
-
-def _merge(keys: list[np.ndarray], extras: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted unique keys and their summed counts (held at two: more is no news)."""
-    everything = np.concatenate(keys)
-    counts = np.concatenate([np.frombuffer(e, dtype=np.uint8) for e in extras]).astype(np.int64)
-    unique, inverse = np.unique(everything, return_inverse=True)
-    return unique, np.minimum(np.bincount(inverse, weights=counts, minlength=len(unique)), 2).astype(np.uint8)
-
-
-def _merged_row(rows: pd.DataFrame) -> pd.DataFrame:
-    keys, counts = _merge([blocks.unpack(b) for b in rows["keys"]], list(rows["extra"]))
-    return pd.DataFrame({"bucket": rows["bucket"].iloc[:1].to_numpy(), "keys": [blocks.pack(keys)], "extra": [counts.tobytes()]})
+#: Bits of a hash in an index that lasts one call; they only tell candidates, which are verified.
+SHORT = 46
+
+
+def _again(keys: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts keys (with their checks), where a new one begins in it, and how many there are of each."""
+    order = np.argsort(keys, kind="stable") if check is None else np.lexsort((check, keys))
+    k = keys[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    if check is not None:
+        c = check[order]
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(k)))
+
+
+def _in(keys: np.ndarray, check: np.ndarray | None, run: np.ndarray, run_check: np.ndarray | None) -> np.ndarray:
+    """Which of the sorted keys (with their checks) a run holds: two sorted lists merged."""
+    found = np.zeros(len(keys), dtype=bool)
+    at = np.searchsorted(run, keys)
+    left = np.arange(len(keys))
+    while len(left):  # equal keys with other checks stand side by side; there is rarely a second one
+        left = left[at[left] < len(run)]
+        left = left[run[at[left]] == keys[left]]
+        found[left] = True if check is None else run_check[at[left]] == check[left]
+        left = left[~found[left]]
+        at[left] += 1
+    return found
+
+
+class _Format:
+    """What the extra of a row holds: a bit a key, whether it is there more than once, and in a lasting index its check."""
+
+    def __init__(self, lasting: bool):
+        self.lasting = lasting
+
+    def write(self, many: np.ndarray, check: np.ndarray | None) -> bytes:
+        return np.packbits(many).tobytes() + (check.astype("<u4").tobytes() if self.lasting else b"")
+
+    def read(self, extra: bytes, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+        bits = -(-n // 8)
+        many = np.unpackbits(np.frombuffer(extra, np.uint8, bits), count=n).astype(bool)
+        return many, np.frombuffer(extra, "<u4", n, bits) if self.lasting else None
+
+    def merged(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """One row of a bucket's sorted distinct keys."""
+        keys = [blocks.unpack(b) for b in rows["keys"]]
+        parts = [self.read(e, len(k)) for e, k in zip(rows["extra"], keys)]
+        everything = np.concatenate(keys)
+        check = np.concatenate([c for _, c in parts]) if self.lasting else None
+        order, first, n = _again(everything, check)
+        many = np.concatenate([m for m, _ in parts])[order]
+        many = np.logical_or.reduceat(many, first) | (n > 1) if len(first) else many
+        extra = self.write(many, None if check is None else check[order][first])
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1].to_numpy(), "keys": [blocks.pack(everything[order][first])], "extra": [extra]})
+
+    def met(self, fresh: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        """The keys of fresh rows that are there again, with a byte each (1: in the batch, 2: earlier), and their checks."""
+        runs = [(blocks.unpack(k), e) for k, e in zip(old["keys"], old["extra"])]
+        found = []
+        for bucket, blob, extra in zip(fresh["bucket"], fresh["keys"], fresh["extra"]):
+            keys = blocks.unpack(blob)
+            many, check = self.read(extra, len(keys))
+            level = many.astype(np.uint8)
+            for run, e in runs:
+                level[_in(keys, check, run, self.read(e, len(run))[1])] = 2
+            hit = level > 0
+            if hit.any():
+                found.append((int(bucket), blocks.pack(keys[hit]), level[hit].tobytes() + (check[hit].tobytes() if self.lasting else b"")))
+        return pd.DataFrame(found, columns=["bucket", "keys", "extra"])
 
 
 class WindowIndex:
-    """Runs of (bucket, sorted keys, counts) under one folder; size counts the batches in a run.
+    """Sorted runs of window hashes under one folder, which may hold runs already: opening it again goes on.
 
-    A key range is one row, and the layout fixes how many there are, so a merge-join reads two
-    sorted arrays a bucket. Runs never change; compaction writes a new one and drops the old.
+    A run is a folder whose name tells how many batches are in it; one without _SUCCESS was cut
+    short and isn't read. A row is a key range: its sorted hashes and, in an index that lasts
+    (bits 64), 32 bits of a second hash for each. Runs never change; compaction writes a new
+    one and drops the old, and when it is cut short in between the keys are there twice, which
+    changes nothing. One call at a time may append.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
-        self.folder = folder or f"{common.scratch_dir(spark)}/window-index-{uuid.uuid4().hex}"
-        self.runs: list[tuple[str, int]] = []
+    def __init__(self, spark: SparkSession, folder: str, bits: int = 64, fanout: int = 4, bucket_bits: int = 10):
+        self.spark, self.folder, self.bits, self.fanout, self.bucket_bits = spark, folder.rstrip("/"), bits, fanout, bucket_bits
+        self.format = _Format(bits == 64)
+
+    @property
+    def lasting(self) -> bool:
+        return self.format.lasting
 
-    def _write(self, rows: DataFrame, size: int) -> DataFrame:
-        path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        rows.groupBy("bucket").applyInPandas(_merged_row, RUN).write.parquet(path)
-        self.runs.append((path, size))
-        return self._read(path)
+    def runs(self) -> list[tuple[str, int]]:
+        """(path, batches) of the complete runs."""
+        out = []
+        for name in common.list_names(self.spark, self.folder):
+            if name.startswith("run-") and "_SUCCESS" in common.list_names(self.spark, f"{self.folder}/{name}"):
+                out.append((f"{self.folder}/{name}", int(name.split("-")[1])))
+        return sorted(out)
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(*paths)
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(path)
+    def _write(self, rows: DataFrame, batches: int) -> str:
+        path = f"{self.folder}/run-{batches}-{uuid.uuid4().hex}"
+        form = self.format
+        with common.settings(self.spark, {common.CLEANUP: "true"}):
+            rows.groupBy("bucket").applyInPandas(lambda rows: form.merged(rows), RUN).write.parquet(path)
+        return path
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch of cells; returns RUN rows of the keys that it repeats, in itself or from earlier batches."""
-        history = [path for path, _ in self.runs]
-        new = self._write(batch, 1)
-
-        def again(fresh: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            for keys, extra in zip(fresh["keys"], fresh["extra"]):
-                keys = blocks.unpack(keys)
-                met = np.frombuffer(extra, dtype=np.uint8) > 1
-                for blob in old["keys"]:
-                    run = blocks.unpack(blob)
-                    if len(run):
-                        at = np.minimum(np.searchsorted(run, keys), len(run) - 1)
-                        met = met | (run[at] == keys)
-                found.append((fresh["bucket"].iloc[0], blocks.pack(keys[met]), np.full(int(met.sum()), 2, dtype=np.uint8).tobytes()))
-            return pd.DataFrame(found, columns=["bucket", "keys", "extra"])
-
-        old = self._read(history[0]) if history else new.limit(0)
-        for path in history[1:]:
-            old = old.union(self._read(path))
-        hits = common.materialize(new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInPandas(again, RUN), "window-hits")
+        """Adds a batch of CELLS rows; returns (bucket, keys, extra) of those that are there again.
+
+        extra is a byte a key: 1 if the batch itself holds it more than once, 2 if an earlier
+        batch does; in a lasting index the checks of the keys follow.
+        """
+        history = [path for path, _ in self.runs()]
+        new = self._read([self._write(batch.select("bucket", "keys", "extra"), 1)])
+        form = self.format
+        if history:
+            rows = new.groupBy("bucket").cogroup(self._read(history).groupBy("bucket")).applyInPandas(lambda fresh, old: form.met(fresh, old), RUN)
+        else:
+            rows = new.mapInPandas(lambda parts: (form.met(part, part.iloc[:0]) for part in parts), RUN)
+        hits = common.materialize(rows, "window-hits")
         self.compact()
         return hits
 
     def compact(self) -> None:
         """Merges runs of one size, `fanout` at a time, so that a key is rewritten once a level."""
         while True:
-            sizes = [size for _, size in self.runs]
-            full = next((s for s in sizes if sizes.count(s) >= self.fanout), None)
+            runs = self.runs()
+            sizes = [size for _, size in runs]
+            full = next((s for s in sorted(set(sizes)) if sizes.count(s) >= self.fanout), None)
             if full is None:
                 return
-            old = [run for run in self.runs if run[1] == full]
-            self.runs = [run for run in self.runs if run[1] != full]
-            rows = self._read(old[0][0])
-            for path, _ in old[1:]:
-                rows = rows.union(self._read(path))
-            self._write(rows, full * len(old))
-            for path, _ in old:
+            old = [path for path, size in runs if size == full]
+            self._write(self._read(old), full * len(old))
+            for path in old:
                 common.delete_path(self.spark, path)
 
     def drop(self) -> None:
         common.delete_path(self.spark, self.folder)
-        self.runs = []
 
 
-# ---- windows of a document ------------------------------------------------------------------
+# ---- windows of a block ----------------------------------------------------------------------
 
 
 class _Windows:
-    """The windows of a text: for each start its anchor's position, key and check hash."""
-
-    def __init__(self, words: np.ndarray, window: int):
-        self.count = max(0, len(words) - window + 1)
-        if self.count:
-            grams = common.gram_hashes(words, ANCHOR)
-            view = np.lib.stride_tricks.sliding_window_view(grams, window - ANCHOR + 1)
-            self.at = np.empty(self.count, dtype=np.int64)
-            for k in range(0, self.count, 65536):
-                part = view[k : k + 65536]
-                self.at[k : k + len(part)] = part.argmin(axis=1) + np.arange(k, k + len(part))
-            self.anchors = grams[self.at]
-
-
-def _anchor_keys(texts, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's anchors: sorted unique keys, and 2 for those at several places (else 1)."""
-    found = []
-    for t in texts:
-        w = _Windows(common.word_hashes(bytes(t)), window)
-        if w.count:
-            found.append(w.anchors[np.concatenate(([True], w.at[1:] != w.at[:-1]))])
-    keys, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
-    return keys, np.minimum(n, 2).astype(np.uint8)
-
-
-def _window_keys(texts, window: int, anchors: np.ndarray, met: np.ndarray):
-    """The windows whose anchor was met again: document, start, key and check of each."""
-    doc, start, key, check = [], [], [], []
-    for k, t in enumerate(texts):
-        words = common.word_hashes(bytes(t))
-        w = _Windows(words, window)
-        if w.count:
-            at = np.flatnonzero(met[np.searchsorted(anchors, w.anchors)])
-            if len(at):
-                doc.append(np.full(len(at), k))
-                start.append(at)
-                key.append(common.gram_hashes(words, window)[at])
-                check.append(common.gram_hashes(common.mix(words ^ np.uint64(0x5851F42D4C957F2D)), window)[at])
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    return join(doc, np.int64), join(start, np.int64), join(key, np.uint64), (join(check, np.uint64) >> np.uint64(32)).astype(np.uint32)
-
-
-def _unique_windows(key: np.ndarray, check: np.ndarray):
-    """Sorted unique (key, check) pairs with 2 for those at several places; the slot of each window."""
-    order = np.lexsort((check, key))
-    k, c = key[order], check[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))) if len(k) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    slot = np.empty(len(k), dtype=np.int64)
-    slot[order] = np.cumsum(new) - 1
-    return k[first], c[first], np.minimum(np.diff(np.append(first, len(k))), 2).astype(np.uint8), slot
+    """The windows of a block's texts: document and start of each, and its hash; the distinct hashes in order."""
+
+    def __init__(self, blobs, window: int):
+        self.ids, self.texts = blocks.unpack_docs(blobs)
+        self.window = window
+        hashes = [common.gram_hashes(common.word_hashes(t), window) for t in self.texts]
+        size = np.array([len(h) for h in hashes], dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(hashes)), size)
+        self.start = np.arange(len(self.doc)) - np.repeat(np.cumsum(size) - size, size)
+        self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.order, self.first, self.n = _again(self.hash, None)
+        self.keys = self.hash[self.order][self.first]
+
+    def slots(self) -> np.ndarray:
+        """For each window the number of its hash."""
+        out = np.empty(len(self.hash), dtype=np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.first)), self.n)
+        return out
+
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """A second, independent hash of these windows."""
+        out = np.empty(len(at), dtype=np.uint64)
+        cuts = np.searchsorted(self.doc[at], np.arange(len(self.texts) + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = at[cuts[k] : cuts[k + 1]]
+            out[cuts[k] : cuts[k + 1]] = common.gram_hashes(common.word_hashes(self.texts[k], 1), self.window)[self.start[mine]]
+        return out
 
+    def first_checks(self) -> np.ndarray:
+        """The upper half of the second hash of each distinct window."""
+        at = np.sort(self.order[self.first])
+        check = np.empty(len(self.hash), dtype=np.uint64)
+        check[at] = self.checks(at)
+        return (check[self.order[self.first]] >> np.uint64(32)).astype(np.uint32)
 
-def _flags(keys: list[np.ndarray], extras: list[bytes]) -> list[bytes]:
-    """For each cell one byte a window: 1 if key and check are at two places or more."""
-    everything = np.concatenate(keys)
-    extra = np.concatenate([np.frombuffer(e, dtype=np.dtype([("check", "<u4"), ("n", "u1")])) for e in extras])
-    order = np.lexsort((extra["check"], everything))
-    k, c, n = everything[order], extra["check"][order], extra["n"][order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
-    flag = np.empty(len(everything), dtype=np.uint8)
-    flag[order] = np.repeat(np.add.reduceat(n, first) > 1, np.diff(np.append(first, len(k))))
-    return [part.tobytes() for part in np.split(flag, np.cumsum([len(x) for x in keys])[:-1])]
 
+_PLACED = np.dtype([("check", "<u8"), ("n", "u1")])
 
-def remove_repeats(docs: DataFrame, window: int = 35, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+
+def _verified(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each cell of a bucket a byte a window: 1 if both its hashes are at two places or more."""
+    keys = np.concatenate([blocks.unpack(b) for b in rows["keys"]])
+    extra = np.concatenate([np.frombuffer(e, _PLACED) for e in rows["extra"]])
+    order, first, n = _again(keys, extra["check"])
+    flag = np.empty(len(keys), dtype=np.uint8)
+    flag[order] = np.repeat(np.add.reduceat(extra["n"][order].astype(np.int64), first) > 1, n) if len(first) else 0
+    ends = np.cumsum([len(e) // _PLACED.itemsize for e in rows["extra"]])[:-1]
+    return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "reply": [part.tobytes() for part in np.split(flag, ends)]})
+
+
+REPLIES = "block int, bucket int, reply binary"
+
+
+def _joined(replies: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, np.uint8) for b in replies.sort_values("bucket")["reply"]] or [np.empty(0, np.uint8)])
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, batches: int = 2, index: WindowIndex | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words long, n_removed long, kept string) for every row.
 
     Removes each word covered by a window of `window` words whose sequence also starts at
-    another place, in the same text or another; windows are judged on the input. kept is the
-    remaining words joined by one space. Null text has no words; texts shorter than a window
-    keep all; repeated rows are places of their own and lose everything a window covers. An
-    empty table gives an empty table. batches is in how many batches the index is fed.
+    another place of docs, in the same text or another; windows are judged on the input. kept is
+    the remaining words joined by one space. With an index (WindowIndex with bits 64), docs are
+    one more delivery: windows that earlier deliveries held go as well, and the index learns
+    those of docs. Without one, an index of this call alone is fed in `batches` batches. Null
+    text has no words; texts shorter than a window keep all; repeated rows are places of their
+    own and lose everything a window covers. An empty table gives an empty table.
     """
-    if window < ANCHOR:
-        raise ValueError(f"a window takes {ANCHOR} words at least")
+    if window < 1:
+        raise ValueError("a window takes a word at least")
+    if index is not None and not index.lasting:
+        raise ValueError("an index that lasts keeps 64 bits")
     spark = docs.sparkSession
     layout = blocks.Layout(docs, text_col, block_bytes)
     dealt = layout.deal(docs, id_col, text_col)
-    bits = layout.bucket_bits
-    asked = common.materialize(blocks.ask(dealt, lambda rows: _anchor_keys(rows["text"], window), bits), "anchors")
-    index = WindowIndex(spark)
-    hits = [index.append(asked.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == k)) for k in range(batches)]
-    index.drop()
+    own = index is None
+    if own:
+        index = WindowIndex(spark, f"{common.scratch_dir(spark)}/window-index-{uuid.uuid4().hex}", SHORT, bucket_bits=layout.bucket_bits)
+    key_bits, top, lasting, form = index.bits, index.bucket_bits, index.lasting, index.format
+    cut_off = np.uint64(64 - key_bits)
+
+    def cells(rows: pd.DataFrame) -> pd.DataFrame:
+        w = _Windows(rows["blob"], window)
+        keys, check = w.keys >> cut_off, w.first_checks() if lasting else None
+        out = []
+        for bucket, a, b in blocks.cuts(keys, top, key_bits):
+            out.append((bucket, int(rows["block"].iloc[0]), blocks.pack(keys[a:b]), form.write(w.n[a:b] > 1, check[a:b] if lasting else None)))
+        return pd.DataFrame(out, columns=["bucket", "block", "keys", "extra"])
+
+    asked = common.materialize(dealt.groupBy("block").applyInPandas(cells, CELLS), "windows")
+    parts = [asked.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == k) for k in range(batches)] if own else [asked]
+    hits = [index.append(part) for part in parts]
+    if own:
+        index.drop()
     repeated = hits[0]
     for more in hits[1:]:
-        repeated = repeated.union(more)
-
-    def met(cells: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(np.concatenate([blocks.unpack(b) for b in known["keys"]] or [np.empty(0, np.uint64)]))
-        reply = [np.isin(blocks.unpack(b), keys, assume_unique=True).astype(np.uint8).tobytes() for b in cells["keys"]]
-        return pd.DataFrame({"block": cells["block"], "bucket": cells["bucket"], "reply": reply})
-
-    replies = common.materialize(asked.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInPandas(met, "block int, bucket int, reply binary"), "anchors-met")
-
-    def windows_of(rows: pd.DataFrame, got: pd.DataFrame):
-        anchors, _ = _anchor_keys(rows["text"], window)
-        flags = np.concatenate([np.frombuffer(b, dtype=np.uint8) for b in got.sort_values("bucket")["reply"]] or [np.empty(0, np.uint8)]) > 0
-        doc, start, key, check = _window_keys(rows["text"], window, anchors, flags)
-        return doc, start, *_unique_windows(key, check)
+        repeated = repeated.unionByName(more)
+
+    def met(cell: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        keys = [blocks.unpack(b) for b in known["keys"]]
+        level = [np.frombuffer(e, np.uint8, len(k)) for e, k in zip(known["extra"], keys)]
+        check = [np.frombuffer(e, "<u4", len(k), len(k)) for e, k in zip(known["extra"], keys)] if lasting else None
+        everything = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        order = np.argsort(everything, kind="stable") if not lasting or not keys else np.lexsort((np.concatenate(check), everything))
+        everything, levels = everything[order], np.concatenate(level)[order] if keys else np.empty(0, np.uint8)
+        checks = np.concatenate(check)[order] if lasting and keys else None
+        out = []
+        for blob, extra in zip(cell["keys"], cell["extra"]):
+            mine = blocks.unpack(blob)
+            if not lasting:
+                out.append(_in(mine, None, everything, None).astype(np.uint8).tobytes())
+                continue
+            own_check = form.read(extra, len(mine))[1]
+            reply = np.zeros(len(mine), dtype=np.uint8)
+            for n in (1, 2):
+                some = levels == n
+                if some.any():
+                    reply[_in(mine, own_check, everything[some], checks[some])] = n
+            out.append(reply.tobytes())
+        return pd.DataFrame({"block": cell["block"], "bucket": cell["bucket"], "reply": out})
+
+    replies = common.materialize(asked.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInPandas(met, REPLIES), "windows-met")
+    common.discard(asked, *hits)
+
+    def candidates(rows: pd.DataFrame, got: pd.DataFrame):
+        """The windows, which are met again (1: here, 2: earlier), the places to verify in order, and both their hashes."""
+        w = _Windows(rows["blob"], window)
+        level = _joined(got)
+        level = level[w.slots()] if len(w.hash) else np.empty(0, np.uint8)
+        at = np.flatnonzero(level == 1)
+        check = w.checks(at)
+        order, first, n = _again(w.hash[at], check)
+        return w, level, at, check, order, first, n
 
     def verify(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         columns = ["bucket", "block", "keys", "extra"]
         if not len(rows):
             return pd.DataFrame(columns=columns)
-        _, _, keys, check, n, _ = windows_of(rows, got)
-        extra = np.empty(len(keys), dtype=np.dtype([("check", "<u4"), ("n", "u1")]))
-        extra["check"], extra["n"] = check, n
-        return pd.DataFrame(blocks.cells(int(rows["block"].iloc[0]), keys, extra, bits), columns=columns)
+        w, _, at, check, order, first, n = candidates(rows, got)
+        keys = w.hash[at][order][first]
+        extra = np.empty(len(keys), dtype=_PLACED)
+        extra["check"], extra["n"] = check[order][first], np.minimum(n, 2)
+        return pd.DataFrame([(bucket, int(rows["block"].iloc[0]), blocks.pack(keys[a:b]), extra[a:b].tobytes()) for bucket, a, b in blocks.cuts(keys, top)], columns=columns)
 
-    met_of = replies.groupBy("block")
-    candidates = dealt.groupBy("block").cogroup(met_of).applyInPandas(verify, blocks.CELLS)
-    verdicts = blocks.answer(candidates, _flags)
-    both = replies.select("block", "bucket", F.lit(0).alias("step"), "reply").union(verdicts.select("block", "bucket", F.lit(1).alias("step"), "reply"))
+    found = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(verify, CELLS)
+    verdicts = found.groupBy("bucket").applyInPandas(_verified, REPLIES)
+    both = replies.withColumn("step", F.lit(0)).unionByName(verdicts.withColumn("step", F.lit(1)))
 
     def cut(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        doc, start, keys, _, _, slot = windows_of(rows, got[got["step"] == 0])
-        flags = np.concatenate([np.frombuffer(b, dtype=np.uint8) for b in got[got["step"] == 1].sort_values("bucket")["reply"]] or [np.empty(0, np.uint8)]) > 0
-        hit = flags[slot]
-        doc, start = doc[hit], start[hit]
-        edges = np.searchsorted(doc, np.arange(len(rows) + 1))
+        w, level, at, _, order, first, n = candidates(rows, got[got["step"] == 0])
+        sure = np.zeros(len(at), dtype=bool)
+        sure[order] = np.repeat(_joined(got[got["step"] == 1]) > 0, n)
+        gone = level == 2
+        gone[at[sure]] = True
+        doc, start = w.doc[gone], w.start[gone]
+        edges = np.searchsorted(doc, np.arange(len(w.texts) + 1))
         out = []
-        for k, (doc_id, text) in enumerate(zip(rows["doc_id"], rows["text"])):
-            words = bytes(text).split()
-            own = start[edges[k] : edges[k + 1]]
-            if len(own):
+        for k, (doc_id, text) in enumerate(zip(w.ids, w.texts)):
+            words = text.split()
+            own_starts = start[edges[k] : edges[k + 1]]
+            kept = words
+            if len(own_starts):
                 cover = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(cover, own, 1)
-                np.add.at(cover, own + window, -1)
+                cover[own_starts] += 1
+                np.add.at(cover, own_starts + window, -1)
                 kept = [words[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
-            else:
-                kept = words
-            out.append((None if pd.isna(doc_id) else int(doc_id), len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")))
+            out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": object})
 
     return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
