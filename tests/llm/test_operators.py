@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from tidelog.llm import avi, blocks, bpe, common, graph, jaccard, mixing, ngram_lm, pii, quality, secret_scan, sharding, simhash, substring_dedup
 
@@ -64,6 +66,16 @@ def test_bpe_equals_tiktoken(docs, nothing):
     assert bpe.encode(nothing, VOCAB, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\p{N}+|[^\p{L}\p{N}]+", r"\S+|\s+"])
+def test_bpe_with_other_patterns(spark, pattern):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCAB, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rows = [("a cat, sat", 1), ("  two  spaces 12 ", 2), ("", 3), (None, 4), ("日本 語", 5)]
+    docs = spark.createDataFrame(rows, "text string, text_to_encode long")
+    for r in bpe.encode(docs, VOCAB, pattern).collect():
+        assert r.token_ids == own.encode_ordinary(r.text or "") and r.text_to_encode in range(1, 6)
+
+
 def test_bpe_odd_texts():
     codec = bpe.Codec(bpe.load_ranks(VOCAB), public_tokenizers.PATTERN)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
@@ -220,14 +232,15 @@ def test_stupid_backoff(docs, nothing, order, held_out):
     assert ngram_lm.score(nothing, order).count() == 0
 
 
-def test_count_table_joins_without_another_exchange(docs):
-    layout = blocks.Layout(docs, "text", 4000)
-    cells = docs.sparkSession.createDataFrame([(1, 1, [5, 7], [1, 2]), (1, 2, [5], [3]), (2, 2, [9], [1])], ngram_lm.CELLS)
-    assert ordered(ngram_lm.count_table(cells).collect()) == [(1, 5, 4)]
-    assert ordered(ngram_lm._replies(cells).collect()) == [(1, 1, [0], [4]), (2, 1, [0], [4])]
-    with common.settings(docs.sparkSession, {common.CO_PARTITION: "false"}):
-        plan = ngram_lm._replies(cells)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(bucket") <= 2 and "ShuffledHashJoin" in plan and layout.bucket_bits == 7
+def test_count_table_joins_without_another_exchange(spark):
+    rows = spark.createDataFrame([(1, 1, [5, 7], [1, 2]), (1, 2, [5], [3]), (2, 2, [9], [1])], ngram_lm.CELLS)
+    cells = rows.groupBy("block").applyInPandas(lambda x: x, ngram_lm.CELLS)
+    with common.settings(spark, {common.CO_PARTITION: "false"}):
+        replies = ngram_lm.replies_to(cells)
+        assert ordered(replies.collect()) == [(1, 1, [0], [4]), (2, 1, [0], [4])]
+        plan = replies._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ShuffledHashJoin" in plan and plan.count("FlatMapGroupsInPandas") == 1 and "ReusedExchange" in plan
+    assert plan.count("+- Exchange ") == 2
 
 
 def test_packed_keys():
@@ -404,6 +417,17 @@ def test_quality_measures(docs, nothing):
     assert quality.judge(nothing).count() == 0
 
 
+def test_verdicts_can_be_filtered_and_names_do_not_clash(spark):
+    text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").withColumns({"judged": F.lit("mine"), "__n_words": F.lit(7), "Kept": F.lit("old")})
+    start = time.time()
+    judged = quality.judge(text)
+    assert judged.where("kept and n_words > 20").count() == sum(r.kept and r.n_words > 20 for r in judged.collect()) > 0
+    assert judged.where("size(broken) > 1").count() < judged.where(~F.col("kept")).count()
+    assert time.time() - start < 40
+    assert judged.columns[:3] == ["text", "judged", "__n_words"] and {(r.judged, r["__n_words"]) for r in judged.collect()} == {("mine", 7)}
+    assert sorted({x for r in judged.collect() for x in r.broken} - {r.name for r in quality.RULES}) == []
+
+
 # ---- 9 ----
 
 
@@ -431,6 +455,24 @@ def test_mix_meets_targets(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "words"), [(200, 5), (200, 1), (3, 1000)])
+def test_equal_rows_share_a_target(spark, copies, words):
+    rows = [(1, "w " * words, "a", 1)] * copies + [(k, "other words here " * 9, "b", 1) for k in range(2, 30)] + [(None, None, None, 1)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size_ int").repartition(7)
+    out = mixing.mix(docs).collect()
+    for source in ("a", "b", None):
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in mine) - (mine[0].target or 0)) <= 1 and all(0 <= r.taken <= 3 * r.size for r in mine)
+    assert len(out) == len(rows) and ordered(out) == ordered(mixing.mix(docs).collect())
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "k", 5, "r"), (2, "c", "s", "k", 5, "r")], "doc_id long, text string, source string, `__key` string, Taken int, row string")
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "text", "source", "__key", "row", "size", "source_size", "target", "taken", "copies"]
+    assert {(r["__key"], r["row"]) for r in out.collect()} == {("k", "r")}
+
+
 # ---- 10 ----
 
 

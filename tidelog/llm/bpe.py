@@ -87,7 +87,7 @@ class Codec:
     pre-tokens of the cuts are those of the text, and the ids of frequent cuts are kept.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, chunked: bool = True):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, chunked: bool = False):
         self.ranks = ranks
         self.tokens = sorted(ranks, key=ranks.__getitem__)
         self.findall = regex.compile(pattern).findall
@@ -174,10 +174,10 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(vocabulary: bytes, pattern: str) -> Codec:
-    key = hashlib.sha256(vocabulary + pattern.encode()).hexdigest()
+def _codec(vocabulary: bytes, pattern: str, chunked: bool) -> Codec:
+    key = hashlib.sha256(b"%d" % chunked + vocabulary + pattern.encode()).hexdigest()
     if key not in _CODECS:
-        _CODECS[key] = Codec({base64.b64decode(t): int(r) for t, r in map(bytes.split, vocabulary.splitlines())}, pattern)
+        _CODECS[key] = Codec({base64.b64decode(t): int(r) for t, r in map(bytes.split, vocabulary.splitlines())}, pattern, chunked)
     return _CODECS[key]
 
 
@@ -194,26 +194,28 @@ def _grouped(texts: list[str | None]) -> Iterator[list[str]]:
         yield group
 
 
-def encode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, chunked: bool = False) -> DataFrame:
     """Adds n_tokens long, token_ids array<int>, ids_sha256 and decoded_sha256 string to the rows.
 
     Null text is empty text: no tokens, the digests of nothing. keep names the columns to carry
     (default: all); a carried column with the name of a new one gives way to it. Repeated rows
     are encoded each; an empty table gives an empty table. The vocabulary (about 1 MB, its size
-    fixed by the file) travels with the code.
+    fixed by the file) travels with the code. chunked is faster, but only right for a pattern
+    in which a single space before a word always opens a pre-token (see Codec).
     """
     with open(vocab_path, "rb") as f:
         vocabulary = f.read()
     new = ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
-    carried = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     # the text travels once more under a name of its own, so that keep needn't have it
-    source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col(f"`{text_col}`").alias("__bpe_text"))
+    (own,) = common.fresh(docs, "text_to_encode")
+    source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col(f"`{text_col}`").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary, pattern)
+        codec = _codec(vocabulary, pattern, chunked)
         for batch in batches:
             at = 0
-            for group in _grouped(batch.column(batch.schema.get_field_index("__bpe_text")).to_pylist()):
+            for group in _grouped(batch.column(len(carried)).to_pylist()):
                 ids = codec.encode_all(group)
                 counts = [len(b) // 4 for b in ids]
                 offsets = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int32)
@@ -239,7 +241,7 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_
 
     @F.pandas_udf("string")
     def to_text(column):
-        codec = _codec(vocabulary, ".")
+        codec = _codec(vocabulary, ".", False)
         return column.map(lambda ids: None if ids is None else codec.decode(np.asarray(ids, dtype="<u4").tobytes()).decode("utf-8", "replace"))
 
     return encoded.withColumn(out_col, to_text(F.col(ids_col)))
@@ -249,5 +251,5 @@ def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = common.documents(spark, sf_dir)
-    out = encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+    out = encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], chunked=True)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

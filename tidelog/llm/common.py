@@ -93,6 +93,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until none is a column of df (case doesn't tell names apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that helper columns beside it can't clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder; none if there isn't one."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -34,10 +34,11 @@ def _uniform(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(source, id, size, key, row): row is the whole row."""
     text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     size = common.word_count(text)
     key = -F.log(_uniform(doc_id, text, seed)) / quality(text, size)
-    return docs.withColumns({"__size": size, "__key": key, "__id": doc_id.cast("long"), "__source": F.col(f"`{source_col}`").cast("string")})
+    return docs.select(F.col(f"`{source_col}`").cast("string").alias("source"), doc_id.cast("long").alias("id"), size.alias("size"), key.alias("key"), common.row_of(docs))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -62,8 +63,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return rows.select("source", "source_size", target.alias("target"))
 
 
+HERE = ("key", "id", "size")
+
+
 def _cuts(keyed: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
-    """One row a source: target, epochs, and the key and id on which the fractional epoch ends, with the words it takes there."""
+    """One row a source: target, epochs, the words of the fractional epoch, and where it ends: the key, id and size of
+    the last row it takes from, how many rows are alike in these (ties) and the words that they give together (left)."""
     band = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * BANDS), F.lit(BANDS - 1)).cast("int")
     rows = keyed.withColumn("band", band)
     bands = rows.groupBy("source", "band").agg(F.sum("size").alias("words"))
@@ -76,10 +81,13 @@ def _cuts(keyed: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
     ahead = bands.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     ends = ahead.alias("l").join(plan.alias("r"), same).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select("l.source", "l.band", "before", "rest")
     within = rows.alias("l").join(ends.alias("r"), same & (F.col("l.band") == F.col("r.band"))).select("l.*", "before", "rest")
-    order = W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    within = within.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = within.where((F.col("left") > 0) & (F.col("left") <= F.col("size"))).groupBy("source").agg(F.min(F.struct("key", "id", "size", "left")).alias("cut"))
-    return plan.alias("l").join(last.alias("r"), same, "left").select(F.col("l.source").alias("__source_"), "source_size", "target", "epochs", "rest", "cut")
+    # rows alike are one row with a count, so a row repeated without end is no long group
+    within = within.groupBy("source", *HERE).agg(F.count("*").alias("ties"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    words = F.col("size") * F.col("ties")
+    order = W.partitionBy("source").orderBy(*HERE).rowsBetween(W.unboundedPreceding, -1)
+    within = within.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum(words).over(order), F.lit(0)))
+    last = within.where((F.col("left") > 0) & (F.col("left") <= words)).groupBy("source").agg(F.min(F.struct(*HERE, "left", "ties")).alias("cut"))
+    return plan.alias("l").join(last.alias("r"), same, "left").select(F.col("l.source").alias("of"), "source_size", "target", "epochs", "rest", "cut")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -88,35 +96,54 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     size counts words (null text: 0). taken is the words that the mix takes of the row: size for
     each whole epoch, once more if the fractional epoch takes it; the document on which a
     source's budget ends gives its first words only, so that a source meets its target to a
-    word. copies is taken in whole documents, that one rounded. Rows of one source, id, and
-    length are alike: of such ties at the end of a budget each gives as much as the first.
-    Columns of docs with those names give way. Empty in, empty out.
+    word. copies is taken in whole documents, that one rounded. Rows of one source, id, length
+    and weight are alike: where a budget ends among them, as many as fit give all, one gives the
+    rest, the others nothing. Columns of docs with the new names give way. Empty in, empty out.
     """
     keyed = _keyed(docs, seed, id_col, text_col, source_col)
-    narrow = common.materialize(keyed.select(F.col("__source").alias("source"), F.col("__id").alias("id"), F.col("__size").alias("size"), F.col("__key").alias("key")), "mix-keys")
-    return _taken(keyed, common.materialize(_cuts(narrow, weights, most), "mix-cuts"))
+    narrow = common.materialize(keyed.select("source", *HERE), "mix-keys")
+    cuts = common.materialize(_cuts(narrow, weights, most), "mix-cuts")
+    new = ("size", "source_size", "target", "taken", "copies")
+    out = _taken(keyed, cuts)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in new), *new)
 
 
 def _taken(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """keyed rows with source_size, target, taken and copies."""
     # one row a source: Spark broadcasts it by its measured size or shuffles
-    rows = keyed.join(cuts.withColumnsRenamed({c: f"__{c}" for c in ("source_size", "target", "epochs", "rest", "cut")}), F.col("__source").eqNullSafe(F.col("__source_")), "left")
-    cut = F.col("__cut")
-    here = F.struct(F.col("__key").alias("key"), F.col("__id").alias("id"), F.col("__size").alias("size"))
-    end = F.struct(cut["key"].alias("key"), cut["id"].alias("id"), cut["size"].alias("size"))
-    more = F.when(F.col("__rest") <= 0, 0).when(cut.isNull(), F.col("__size")).when(here < end, F.col("__size")).when(here == end, cut["left"]).otherwise(0)
+    rows = keyed.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left")
+    cut = F.col("cut")
+    here, end = F.struct(*HERE), F.struct(*(cut[c].alias(c) for c in HERE))
+    at_end = cut.isNotNull() & (here == end)
+    if cuts.where("cut.ties > 1").isEmpty():
+        return _counted(rows, F.when(at_end, cut["left"]))
+    # equal rows share the end of a budget: they are numbered, each part of them by itself and the parts in turn
+    ends = common.materialize(rows.where(at_end).withColumn("part", F.spark_partition_id()), "mix-ends")
+    parts = ends.groupBy("of", "part").agg(F.count("*").alias("n"))
+    offset = F.coalesce(F.sum("n").over(W.partitionBy("of").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("of").alias("of_"), F.col("part").alias("part_"), offset.alias("offset"))
+    numbered = ends.withColumn("n", F.row_number().over(W.partitionBy("of", "part").orderBy("id")) - 1)
+    numbered = numbered.join(parts, F.col("of").eqNullSafe(F.col("of_")) & (F.col("part") == F.col("part_")))
+    rank, size = F.col("n") + F.col("offset"), F.col("size")
+    share = F.greatest(F.lit(0), F.least(size, cut["left"] - rank * size))
+    return _counted(rows.where(~at_end), F.lit(None).cast("long")).unionByName(_counted(numbered, share))
+
+
+def _counted(rows: DataFrame, at_end: Column) -> DataFrame:
+    """at_end: the words of the fractional epoch that a row gives on which its budget ends; null for other rows."""
+    cut, size, rest = F.col("cut"), F.col("size"), F.col("rest")
+    here, end = F.struct(*HERE), F.struct(*(cut[c].alias(c) for c in HERE))
+    more = F.when(rest <= 0, 0).when(cut.isNull(), size).when(at_end.isNotNull(), at_end).when(here < end, size).otherwise(0)
     more = F.coalesce(more, F.lit(0)).cast("long")
-    extra = F.when(F.col("__size") > 0, F.when(2 * more >= F.col("__size"), 1).otherwise(0)).otherwise(0)
-    named = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": F.col("__epochs") * F.col("__size") + more, "copies": (F.col("__epochs") + extra).cast("int")}
-    return rows.withColumns(named).drop("__size", "__key", "__id", "__source", "__source_", "__source_size", "__target", "__epochs", "__rest", "__cut")
+    extra = F.when((size > 0) & (2 * more >= size), 1).otherwise(0)
+    return rows.select("row", "size", "source_size", "target", (F.col("epochs") * size + more).alias("taken"), (F.col("epochs") + extra).cast("int").alias("copies"))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    keyed = common.materialize(_keyed(docs, 9, "doc_id", "text", "source").select("__size", "__key", "__id", "__source"), "mix-keys")
-    narrow = keyed.select(F.col("__source").alias("source"), F.col("__id").alias("id"), F.col("__size").alias("size"), F.col("__key").alias("key"))
-    cuts = common.materialize(_cuts(narrow, WEIGHTS, MOST_EPOCHS), "mix-cuts")
-    mixed = _taken(keyed.withColumn("doc_id", F.col("__id")), cuts)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    keyed = common.materialize(_keyed(docs, 9, "doc_id", "text", "source").select("source", *HERE, F.struct("row.doc_id").alias("row")), "mix-keys")
+    cuts = common.materialize(_cuts(keyed.select("source", *HERE), WEIGHTS, MOST_EPOCHS), "mix-cuts")
+    return _taken(keyed, cuts).select("row.doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 _WEIGHTS = ", ".join(f"{w:.1f}" for w in WEIGHTS)

@@ -115,25 +115,21 @@ class _Block:
         })
 
 
-def count_table(cells: DataFrame) -> DataFrame:
-    """(bucket, key, total): the corpus count of every n-gram that more than one block holds, partitioned by hash bucket.
-
-    cells: CELLS rows, dealt by bucket.
-    """
-    counts = _exploded(cells).groupBy("bucket", "key").agg(F.sum("n").alias("total"), F.min("block").alias("a"), F.max("block").alias("b"))
-    return counts.where("a <> b").select("bucket", "key", "total")
-
-
-def _exploded(cells: DataFrame) -> DataFrame:
-    """(bucket, block, at int, key, n): one row for each n-gram of a cell."""
-    return cells.select("bucket", "block", "counts", F.posexplode("keys").alias("at", "key")).select("bucket", "block", "at", "key", F.col("counts")[F.col("at")].alias("n"))
+#: The count table is partitioned by hash bucket as the exploded n-grams are, so joining them back to it takes no exchange.
+#: rand() is always below 1; with it Spark makes the dealt cells once for both uses, where it would inline what is deterministic.
+REPLIES = """
+WITH dealt AS (SELECT /*+ REPARTITION(bucket) */ bucket, block, keys, IF(rand() < 1, counts, NULL) AS counts FROM {cells})
+SELECT /*+ SHUFFLE_HASH(held) */ gram.block, gram.bucket, collect_list(gram.at) AS at, collect_list(held.total) AS total
+FROM (SELECT bucket, block, at, key FROM dealt LATERAL VIEW posexplode(keys) AS at, key) AS gram
+JOIN (SELECT bucket, key, sum(counts[at]) AS total FROM dealt LATERAL VIEW posexplode(keys) AS at, key GROUP BY bucket, key HAVING min(block) <> max(block)) AS held
+  ON gram.bucket = held.bucket AND gram.key = held.key
+GROUP BY gram.block, gram.bucket
+"""
 
 
-def _replies(cells: DataFrame) -> DataFrame:
-    """(block, bucket, at array<int>, total array<bigint>): the counts of a cell's n-grams that other blocks hold as well."""
-    dealt = cells.repartition("bucket")
-    joined = _exploded(dealt).join(count_table(dealt).hint("shuffle_hash"), ["bucket", "key"])
-    return joined.groupBy("block", "bucket").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("total"))
+def replies_to(cells: DataFrame) -> DataFrame:
+    """(block, bucket, at array<int>, total array<bigint>) of CELLS rows: the corpus counts of a cell's n-grams that other blocks hold as well."""
+    return cells.sparkSession.sql(REPLIES, cells=cells)
 
 
 def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool = True, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
@@ -177,7 +173,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool =
             asked = dealt.groupBy("block").applyInPandas(lambda rows: cells(rows, None, 0), CELLS)
         else:
             asked = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(later(k), CELLS)
-        answered = common.materialize(_replies(asked).withColumn("round", F.lit(k)), "ngram-counts", groups=1 << 20)
+        answered = common.materialize(replies_to(asked).withColumn("round", F.lit(k)), "ngram-counts", groups=1 << 20)
         replies = answered if replies is None else replies.unionByName(answered)
 
     def run(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:

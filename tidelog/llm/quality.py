@@ -1,13 +1,13 @@
-"""Quality rules: a table of thresholds compiled into Spark columns, no user functions.
+"""Quality rules: a table of thresholds compiled into one Spark expression, no user functions.
 
-The expressions are layered selects because a column that several later ones use is then
-evaluated once; there is no shuffle, and Catalyst merges the layers into one stage.
+All measures of a text are one struct, in which a value that several others use is bound once
+(a function over an array of one element), so the expression grows with the rules, not with
+their nesting: it can be filtered on, pushed down and evaluated again like any other.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,114 +25,121 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """metric must lie in [least, most]; it is judged from min_words words on."""
+    """`part` in per cent of `whole` (without whole: part itself) must lie in [least, most]; judged from min_words words on."""
 
     name: str
-    metric: str
-    least: float | None = None
-    most: float | None = None
+    part: str
+    whole: str | None = None
+    least: int | None = None
+    most: int | None = None
     min_words: int = 0
 
 
-#: metric: a column of `measure`, or an SQL expression over them.
+#: part and whole: fields of `measures`.
 RULES = (
-    Rule("length", "n_words", 10, 5_000_000),
-    Rule("repeats", "100 * n_repeat_words - 20 * n_words", None, 0),
-    Rule("word_length", "word_chars / n_words", 2.0, 20.0, 10),
-    Rule("symbols", "n_symbols / n_words", None, 0.3, 10),
-    Rule("stop_words", "n_stop_words / n_words", 0.01, None, 80),
-    Rule("dup_lines", "n_dup_lines / n_lines", None, 0.5, 10),
+    Rule("length", "n_words", None, 10, 5_000_000),
+    Rule("repeats", "n_repeat_words", "n_words", None, 20),
+    Rule("word_length", "word_chars", "n_words", 200, 2000, 10),
+    Rule("symbols", "n_symbols", "n_words", None, 30, 10),
+    Rule("stop_words", "n_stop_words", "n_words", 1, None, 80),
+    Rule("dup_lines", "n_dup_lines", "n_lines", None, 50, 10),
 )
 
 
-def _layer(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.withColumns({f"__{k}": v for k, v in columns.items()})
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __n_words, __word_chars, __n_symbols, __n_lines, __n_dup_lines, __n_stop_words, __n_repeat_words (long).
+def measures(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words (long); null text counts as empty.
 
     Windows are compared by a 64-bit hash first; only a text in which two hashes agree has its
     windows compared as strings.
     """
-    df = _layer(docs, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    text = F.col("__text")
-    df = _layer(
-        df,
-        words=F.filter(F.split(text, common.GAP), lambda w: w != ""),
-        lines=F.filter(F.split(text, "\n"), lambda x: F.translate(x, common.GAP_CHARS, "") != ""),
-        word_chars=F.length(F.translate(text, common.GAP_CHARS, "")).cast("long"),
-        n_symbols=(F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-    )
-    words, n = F.col("__words"), F.size("__words")
-    starts = F.sequence(F.lit(0), n - 5)
-    df = _layer(
-        df,
-        n_words=n.cast("long"),
-        n_lines=F.size("__lines").cast("long"),
-        n_dup_lines=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        n_stop_words=F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))).cast("long"),
-        hashes=F.when(n > 5, F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(5))))),
-    )
-    df = _layer(df, suspect=F.coalesce(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), F.lit(False)))
-    strings = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, 5)).alias("w"), i.alias("i")))
-    df = _layer(df, sorted=F.when(F.col("__suspect"), F.array_sort(strings)))
-    pairs = F.col("__sorted")
-    # a window is repeated if a neighbour in sorted order is equal
-    repeated = F.transform(pairs, lambda x, k: F.when((x["w"] == F.get(pairs, k - 1)["w"]) | (x["w"] == F.get(pairs, k + 1)["w"]), x["i"]))
-    df = _layer(df, repeated=F.array_sort(F.filter(repeated, lambda i: i.isNotNull())))
-    at = F.col("__repeated")
-    covered = F.transform(at, lambda i, k: F.least(F.lit(5), F.coalesce(F.get(at, k + 1) - i, F.lit(5))))
-    df = _layer(df, n_repeat_words=F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
-    return df.drop("__text", "__words", "__lines", "__hashes", "__suspect", "__sorted", "__repeated")
-
-
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The names of the rules that a measured row breaks, as an array."""
+
+    def of(t: Column) -> Column:
+        words = F.filter(F.split(t, common.GAP), lambda w: w != "")
+        lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, common.GAP_CHARS, "") != "")
+        return _bind(words, lambda w: _bind(lines, lambda x: fields(t, w, x)))
+
+    def fields(t: Column, words: Column, lines: Column) -> Column:
+        values = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.translate(t, common.GAP_CHARS, "")),
+            "n_symbols": F.length(t) - F.length(F.translate(t, "#*$%&|<>", "")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_stop_words": F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))),
+            "n_repeat_words": _repeat_words(words),
+        }
+        return F.struct(*(v.cast("long").alias(k) for k, v in values.items()))
+
+    return _bind(F.coalesce(text, F.lit("")), of)
+
+
+def _repeat_words(words: Column) -> Column:
+    """How many words lie in a five-word window that is there twice or more."""
+    starts = F.sequence(F.lit(0), F.size(words) - 5)
+    hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(5))))
+    strings = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, 5)).alias("w"), i.alias("i"))))
+
+    def repeated(pairs: Column) -> Column:
+        # equal windows are neighbours in sorted order
+        hit = F.transform(pairs, lambda x, k: F.when((x["w"] == F.get(pairs, k - 1)["w"]) | (x["w"] == F.get(pairs, k + 1)["w"]), x["i"]))
+        return F.array_sort(F.filter(hit, lambda i: i.isNotNull()))
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(F.transform(at, lambda i, k: F.least(F.lit(5), F.coalesce(F.get(at, k + 1) - i, F.lit(5)))), F.lit(0), lambda a, x: a + x)
+
+    suspect = _bind(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    exact = _bind(strings, lambda pairs: _bind(repeated(pairs), covered))
+    return F.when(F.size(words) > 5, F.when(suspect, exact).otherwise(0)).otherwise(0)
+
+
+def broken(measured: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The names of the rules that measures break, as an array; a rule whose whole is zero isn't broken."""
     names = []
     for rule in rules:
-        metric = F.expr(_private(rule.metric))
-        ok = F.lit(True)
+        part, whole = (measured[rule.part], F.lit(1)) if rule.whole is None else (100 * measured[rule.part], measured[rule.whole])
+        bad = F.lit(False)
         if rule.least is not None:
-            ok = ok & (metric >= rule.least)
+            bad = bad | (part < rule.least * whole)
         if rule.most is not None:
-            ok = ok & (metric <= rule.most)
-        names.append(F.when((F.col("__n_words") >= rule.min_words) & ~ok, F.lit(rule.name)))
+            bad = bad | (part > rule.most * whole)
+        names.append(F.when((measured["n_words"] >= rule.min_words) & (whole > 0) & bad, F.lit(rule.name)))
     return F.filter(F.array(*names), lambda x: x.isNotNull())
 
 
-def _private(metric: str) -> str:
-    """The metric over the private column names; dividing by zero gives null, which breaks no rule."""
-    metric = re.sub(r"\b(n_\w+|word_chars)\b", r"__\1", metric)
-    return re.sub(r"/ (\w+)", r"/ nullif(\1, 0)", metric)
+def assess(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the measures, base_failed, kept (boolean) and broken (array of rule names)."""
+
+    def whole(m: Column, names: Column) -> Column:
+        base_failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        return F.struct(*(m[k].alias(k) for k in MEASURES), base_failed.alias("base_failed"), (~base_failed & (F.size(names) == 0)).alias("kept"), names.alias("broken"))
+
+    return _bind(measures(text), lambda m: _bind(broken(m, rules), lambda names: whole(m, names)))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICT = (*MEASURES, "base_failed", "kept", "broken")
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """docs with the five measures (long), base_failed, kept (boolean) and broken (array of rule names).
 
     Null text counts as empty: no words, base_failed, not kept. Columns of docs with those names
-    give way. Repeated rows are judged each; empty in, empty out.
+    give way; others stay, whatever their names. Repeated rows are judged each; empty in, empty out.
     """
-    n, rep = F.col("__n_words"), F.col("__n_repeat_words")
-    df = _layer(measure(docs, text_col), base_failed=(n < 10) | (100 * rep > 20 * n), broken=verdict(rules))
-    named = {m: F.col(f"__{m}") for m in MEASURES} | {"base_failed": F.col("__base_failed"), "broken": F.col("__broken"), "kept": ~F.col("__base_failed") & (F.size("__broken") == 0)}
-    df = df.withColumns(named)
-    return df.drop(*(c for c in df.columns if c.startswith("__") and c not in docs.columns))
+    (own,) = common.fresh(docs, "judged")
+    rows = docs.withColumn(own, assess(F.col(f"`{text_col}`"), rules))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in VERDICT]
+    return rows.select(*kept, *(F.col(own)[k].alias(k) for k in VERDICT))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of docs that break no rule, with their columns.
-
-    How many rows were judged and kept is observed as the metrics judged and kept. Observing
-    also holds the filter above the layers: pushed below them, the optimiser would write every
-    layer out again at each use, and the expression would grow exponentially.
-    """
-    judged = judge(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text_col}`").alias("__input")), rules, "__input")
-    seen = judged.observe(f"quality-rules-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("judged"), F.count_if("kept").alias("kept"))
-    return seen.where("kept").select("__row.*")
+    """The rows of docs that break no rule, with their columns; null or empty texts go, repeated rows stay."""
+    return docs.where(assess(F.col(f"`{text_col}`"), rules)["kept"])
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
