@@ -41,6 +41,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 #: From so many groups in a task on, collected lists are sorted together rather than hashed.
 HASHED_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+#: A small map of groups before the large one: of no use where nearly every row is a group.
+TWO_MAPS = "spark.sql.codegen.aggregate.map.twolevel.enabled"
 
 
 @contextmanager
@@ -56,16 +58,16 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, label: str, groups: int = 128) -> DataFrame:
+def materialize(df: DataFrame, label: str, more: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends, and a lost executor costs nothing.
 
-    Its shuffle files go as soon as it is written; groups is how many lists a task may collect
-    at a time before it sorts. `discard` deletes what is no longer needed;
+    Its shuffle files go as soon as it is written; more are settings for as long as it is
+    written. `discard` deletes what is no longer needed;
     `release` deletes all that this application wrote, once the results have been taken.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    with settings(spark, {CLEANUP: "true", CO_PARTITION: "false", HASHED_GROUPS: str(groups)}):
+    with settings(spark, {CLEANUP: "true", CO_PARTITION: "false"} | (more or {})):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

@@ -72,15 +72,18 @@ class _Block:
             counts[slot[-1]] = len(self.words)
         return keys, counts, places, np.split(slot, np.cumsum([len(p) for p in places]))[: len(places)]
 
-    def learn(self, orders: tuple[int, ...], replies: pd.DataFrame) -> None:
-        """Takes the corpus counts of what ask() asked for; a key without reply is held by this block alone."""
+    def learn(self, orders: tuple[int, ...], replies: pd.DataFrame, needed: int = 1) -> None:
+        """Takes the corpus counts of what ask() asked for, from order `needed` on; a key without reply is held by this block alone."""
         keys, totals, places, slots = self.ask(orders)
         start = {bucket: a for bucket, a, _ in blocks.cuts(keys, self.bits)}
-        for bucket, at, total in zip(replies["bucket"], replies["at"], replies["total"]):
-            totals[start[bucket] + np.asarray(at, dtype=np.int64)] = total
+        for bucket, found in zip(replies["bucket"], replies["found"]):
+            found = np.asarray(found, dtype=np.int64)
+            totals[start[bucket] + (found >> 42)] = found & (1 << 42) - 1
         if orders[0] == 1:
             self.all_words = int(totals[np.searchsorted(keys, NO_WORDS)])
         for n, at, slot in zip(orders, places, slots):
+            if n < needed:
+                continue
             count = np.zeros(len(self.words), dtype=np.int64)
             count[at] = totals[slot] - (self._own(at, slot, len(keys)) if self.held_out else 0)
             self.held[n] = count
@@ -119,16 +122,19 @@ class _Block:
 #: rand() is always below 1; with it Spark makes the dealt cells once for both uses, where it would inline what is deterministic.
 REPLIES = """
 WITH dealt AS (SELECT /*+ REPARTITION(bucket) */ bucket, block, keys, IF(rand() < 1, counts, NULL) AS counts FROM {cells})
-SELECT /*+ SHUFFLE_HASH(held) */ gram.block, gram.bucket, collect_list(gram.at) AS at, collect_list(held.total) AS total
+SELECT /*+ SHUFFLE_HASH(held) */ gram.block, gram.bucket, collect_list(shiftleft(CAST(gram.at AS BIGINT), 42) | held.total) AS found
 FROM (SELECT bucket, block, at, key FROM dealt LATERAL VIEW posexplode(keys) AS at, key) AS gram
-JOIN (SELECT bucket, key, sum(counts[at]) AS total FROM dealt LATERAL VIEW posexplode(keys) AS at, key GROUP BY bucket, key HAVING min(block) <> max(block)) AS held
+JOIN (SELECT bucket, key, sum(counts[at]) AS total FROM dealt LATERAL VIEW posexplode(keys) AS at, key GROUP BY bucket, key HAVING count(*) > 1) AS held
   ON gram.bucket = held.bucket AND gram.key = held.key
 GROUP BY gram.block, gram.bucket
 """
 
 
 def replies_to(cells: DataFrame) -> DataFrame:
-    """(block, bucket, at array<int>, total array<bigint>) of CELLS rows: the corpus counts of a cell's n-grams that other blocks hold as well."""
+    """(block, bucket, found array<bigint>) of CELLS rows: a cell's n-grams that other blocks hold as well.
+
+    Each is its place in the cell times 2^42 (a cell is of one block, so it has few) plus its corpus count.
+    """
     return cells.sparkSession.sql(REPLIES, cells=cells)
 
 
@@ -154,7 +160,8 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool =
     def block_of(rows: pd.DataFrame, got: pd.DataFrame | None, known: int) -> _Block:
         block = _Block(rows["blob"], bits, held_out)
         for k in range(known):
-            block.learn(rounds[k], got[got["round"] == k])
+            # the next round looks at the last order of this one alone, the scores at all
+            block.learn(rounds[k], got[got["round"] == k], 1 if known == len(rounds) else rounds[k][-1])
         return block
 
     def cells(rows: pd.DataFrame, got: pd.DataFrame | None, k: int) -> pd.DataFrame:
@@ -173,7 +180,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool =
             asked = dealt.groupBy("block").applyInPandas(lambda rows: cells(rows, None, 0), CELLS)
         else:
             asked = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(later(k), CELLS)
-        answered = common.materialize(replies_to(asked).withColumn("round", F.lit(k)), "ngram-counts", groups=1 << 20)
+        answered = common.materialize(replies_to(asked).withColumn("round", F.lit(k)), "ngram-counts", {common.HASHED_GROUPS: str(1 << 20), common.TWO_MAPS: "false"})
         replies = answered if replies is None else replies.unionByName(answered)
 
     def run(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:

@@ -1,11 +1,14 @@
 """SimHash near-duplicates: fingerprints, and a self-join of the binary trie of fingerprints.
 
-The trie is walked by pairs of nodes: from a pair at one depth to the pairs of their children,
-adding one for each bit that differs, dropping pairs beyond the budget. To spread the walk,
-the 64 bits are cut into budget + 1 blocks: two fingerprints within the budget agree on one
-block at least, so in the trie of the fingerprints rotated to begin with that block they hang
-under the same node at that depth, and the walks below such nodes are independent. A node with
-many leaves is cut into chunks, and every pair of chunks is a walk of its own.
+The trie is walked by pairs of nodes, from the pair (root, root) down to the pairs of leaves:
+from a pair at one depth to the pairs of their children, adding one for each bit that differs,
+dropping pairs beyond the budget. To spread the walk, the 64 bits are cut into blocks, more
+than the budget by `agree`: two fingerprints within the budget agree on `agree` blocks at
+least, so in one of the tries that begin with these blocks they hang under the same node at
+that depth, and the walks below such nodes are independent. How many blocks agree follows from
+the number of fingerprints, so that such a node has few leaves and each fingerprint is sent to
+as many nodes as there are tries, whatever the size of the corpus. A node that is crowded all
+the same is walked in parts: pairs of its descendants some levels down, within the budget.
 """
 
 from __future__ import annotations
@@ -16,18 +19,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import common, graph, jaccard
 
 SEED = 42
-#: A node with more leaves than this is cut into chunks of about this size.
+#: Leaves that a node at which walks begin should have at most; one with more is walked in parts.
 CHUNK = 4096
+#: A crowded node is walked by pairs of its descendants so many levels down.
+LEVELS = 6
 #: Rows that one walk takes at a time (it always takes whole units) and node pairs expanded at once.
 BATCH_ROWS, PAIRS = 32_768, 400_000
-#: Node pairs with so few leaf pairs below them are compared leaf by leaf.
-LEAVES = 8
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -81,29 +84,25 @@ def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _leaf_pairs(a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of leaves below each pair of nodes (ranges of positions)."""
-    wide = b1 - b0
-    count = (a1 - a0) * wide
-    node = np.repeat(np.arange(len(count)), count)
-    k = np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)
-    return a0[node] + k // wide[node], b0[node] + k % wide[node]
-
-
-def trie_links(unit: np.ndarray, keys: np.ndarray, budget: int) -> np.ndarray:
+def trie_links(unit: np.ndarray, keys: np.ndarray, budget: int, side: np.ndarray | None = None) -> np.ndarray:
     """For each position the least position that it is linked to, through links within its unit.
 
     unit must be sorted, keys sorted in each unit. The walk starts from the pair (root, root)
-    of every unit's trie.
+    of every unit's trie; in a unit with two sides (side 0 before side 1, keys sorted in each) from
+    the pair of the tries of its sides.
     """
     n = len(keys)
     root = np.arange(n)
     if n < 2:
         return root
-    first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-    last = np.append(first[1:], n)
-    many = last - first > 1
-    first, last = first[many], last[many]
+    part = unit if side is None else _runs(unit) * 3 + side
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    first, last = edges[:-1], edges[1:]
+    paired = np.zeros(len(first), dtype=bool) if side is None else np.append(part[first][1:] == part[first][:-1] + 1, False) & (side[first] == 0)
+    alone = (last - first > 1) & (True if side is None else side[first] == 2)
+    nexts = np.append(np.arange(1, len(first)), 0)
+    a0, a1 = np.concatenate((first[alone], first[paired])), np.concatenate((last[alone], last[paired]))
+    b0, b1 = np.concatenate((first[alone], first[nexts[paired]])), np.concatenate((last[alone], last[nexts[paired]]))
     ones: dict[int, np.ndarray] = {}
 
     def split(depth: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -112,22 +111,18 @@ def trie_links(unit: np.ndarray, keys: np.ndarray, budget: int) -> np.ndarray:
             ones[depth] = np.concatenate(([0], np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)))
         return hi - (ones[depth][hi] - ones[depth][lo])
 
-    stack = [(0, first, last, first, last, np.zeros(len(first), dtype=np.int8))]
+    stack = [(0, a0, a1, b0, b1, np.zeros(len(a0), dtype=np.int8))]
     while stack:
         depth, a0, a1, b0, b1, bits = stack.pop()
         if len(a0) > PAIRS:
             for at in range(0, len(a0), PAIRS):
                 stack.append((depth, *(x[at : at + PAIRS] for x in (a0, a1, b0, b1, bits))))
             continue
-        few = ((a1 - a0) * (b1 - b0) <= LEAVES) | (depth == 64)
-        if few.any():
-            i, j = _leaf_pairs(a0[few], a1[few], b0[few], b1[few])
-            near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-            root = _unite(root, i[near], j[near])
-            rest = ~few
-            a0, a1, b0, b1, bits = a0[rest], a1[rest], b0[rest], b1[rest], bits[rest]
         if not len(a0):
             continue
+        if depth == 64:  # what has come so far is within the budget; equal fingerprints of two sides are one leaf each
+            root = _unite(root, np.minimum(a0, b0), np.maximum(a0, b0))
+            continue
         am, bm = split(depth, a0, a1), split(depth, b0, b1)
         same = a0 == b0  # a node paired with itself
         parts = ((a0, am, b0, bm, bits, None), (am, a1, bm, b1, bits, None), (a0, am, bm, b1, bits + np.int8(1), None), (am, a1, b0, bm, bits + np.int8(1), ~same))
@@ -139,7 +134,7 @@ def trie_links(unit: np.ndarray, keys: np.ndarray, budget: int) -> np.ndarray:
             for x, y in zip(grown, (p0, p1, q0, q1, d)):
                 x.append(y[ok])
         joined = tuple(np.concatenate(x) for x in grown)
-        # leaf pairs with both ends in one class already add nothing
+        # a leaf paired with itself, or leaf pairs with both ends in one class already, add nothing
         lone = (joined[1] - joined[0] == 1) & (joined[3] - joined[2] == 1)
         keep = ~(lone & (root[joined[0]] == root[joined[2]]))
         if keep.any():
@@ -147,6 +142,11 @@ def trie_links(unit: np.ndarray, keys: np.ndarray, budget: int) -> np.ndarray:
     return root
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """The number of each run of equal values."""
+    return np.cumsum(np.concatenate(([0], values[1:] != values[:-1])))
+
+
 def _tables(budget: int, agree: int) -> list[list[tuple[int, int]]]:
     """For each rearranged trie the (offset, width) of the blocks in order, the agreeing ones first."""
     n = budget + agree
@@ -162,72 +162,87 @@ def _rearranged(fp: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
+def agreeing(fingerprints: int, budget: int, chunk: int = CHUNK) -> int:
+    """The fewest blocks whose agreement leaves chunk of so many (evenly spread) fingerprints in a node or less."""
+    agree = 1
+    while agree < 8 and fingerprints >> (64 * agree // (budget + agree)) > chunk:
+        agree += 1
+    return agree
+
+
 def _walk(budget: int, agree: int):
     tables = _tables(budget, agree)
 
-    def links(unit: np.ndarray, table: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def links(unit: np.ndarray, table: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         keys = np.empty(len(fp), dtype=np.uint64)
         for k in np.unique(table):
             mine = table == k
             keys[mine] = _rearranged(fp[mine], tables[k])
-        order = np.lexsort((keys, unit))
-        root = trie_links(unit[order], keys[order], budget)
+        order = np.lexsort((keys, side, unit))
+        root = trie_links(unit[order], keys[order], budget, side[order])
         moved = np.flatnonzero(root != np.arange(len(root)))
         values = fp[order].view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[root[moved]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], []]
+        held: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
             for x, c in zip(held, batch.columns):
                 x.append(c.to_numpy(zero_copy_only=False))
             if sum(map(len, held[0])) < BATCH_ROWS:
                 continue
-            unit, table, fp = map(np.concatenate, held)
+            unit, table, side, fp = map(np.concatenate, held)
             cut = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
             if cut:
-                yield links(unit[:cut], table[:cut], fp[:cut].view(np.uint64))
-            held = [[unit[cut:]], [table[cut:]], [fp[cut:]]]
+                yield links(unit[:cut], table[:cut], side[:cut], fp[:cut].view(np.uint64))
+            held = [[unit[cut:]], [table[cut:]], [side[cut:]], [fp[cut:]]]
         if held[0]:
-            unit, table, fp = map(np.concatenate, held)
-            yield links(unit, table, fp.view(np.uint64))
+            unit, table, side, fp = map(np.concatenate, held)
+            yield links(unit, table, side, fp.view(np.uint64))
 
     return run
 
 
-def links(prints: DataFrame, budget: int = 4, agree: int = 1, chunk: int = CHUNK) -> DataFrame:
+def _bits(fp: Column, blocks: list[tuple[int, int]], start: int, width: int) -> Column:
+    """Bits start .. start + width of a rearranged fingerprint, as a long."""
+    out, passed = F.lit(0).cast("long"), 0
+    for offset, size in blocks:
+        a, b = max(start, passed), min(start + width, passed + size)
+        if a < b:
+            at, n = offset + a - passed, b - a
+            out = F.shiftleft(out, n).bitwiseOR(F.shiftrightunsigned(F.shiftleft(fp, at), 64 - n))
+        passed += size
+    return out
+
+
+def links(prints: DataFrame, budget: int = 4, agree: int | None = None, chunk: int = CHUNK, levels: int = LEVELS) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that span, as a forest in each walk, all links within budget.
 
     prints has one column fp long without repeats. The bits are cut into budget + agree blocks,
-    of which two linked fingerprints share agree at least; more of them make more, smaller
-    walks. What a walk holds is at most two chunks or one batch of whole units.
+    of which two linked fingerprints share agree at least (default: as many as the number of
+    fingerprints asks for). Below a node with more than chunk leaves, walks begin at the pairs
+    of its descendants `levels` down that differ in no more bits than the budget: a
+    fingerprint goes to as many of them as there are such patterns of bits.
     """
-    tables = _tables(budget, agree)
     fp = F.col("fp")
-
-    def node(blocks: list[tuple[int, int]]):
-        out = F.lit(0).cast("long")
-        for offset, width in blocks[:agree]:
-            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(F.shiftleft(fp, offset), 64 - width))
-        return out
-
-    keys = F.array(*(F.struct(F.lit(k).alias("table"), node(blocks).alias("node")) for k, blocks in enumerate(tables)))
-    placed = prints.select(fp, F.explode(keys).alias("k")).select("fp", "k.table", "k.node")
-    crowded = placed.groupBy("table", "node").count().where(F.col("count") > chunk)
-    crowded = crowded.select("table", "node", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    # however large the input there are so many nodes at most: 41,000 for 4 bits and one block
-    nodes = sum(1 << sum(width for _, width in blocks[:agree]) for blocks in tables)
-    split = placed.join(F.broadcast(crowded) if nodes <= 100_000 else crowded, ["table", "node"], "left")
-    mine = F.pmod(F.xxhash64(fp, F.lit(7)), F.col("chunks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != mine)
-    pairs = F.transform(others, lambda c: F.struct(F.least(c, mine).alias("lo"), F.greatest(c, mine).alias("hi")))
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
-    units = split.select("fp", "table", "node", F.explode(F.when(F.col("chunks") > 1, pairs).otherwise(whole)).alias("u"))
-    units = units.select(F.xxhash64("table", "node", "u.lo", "u.hi").alias("unit"), F.col("table"), fp)
+    agree = agreeing(prints.count(), budget, chunk) if agree is None else agree
+    tables = _tables(budget, agree)
+    depth = [sum(width for _, width in blocks[:agree]) for blocks in tables]
+    keys = F.array(*(F.struct(F.lit(k).alias("table"), _bits(fp, blocks, 0, depth[k]).alias("node"), _bits(fp, blocks, depth[k], levels).alias("below")) for k, blocks in enumerate(tables)))
+    placed = prints.select(fp, F.explode(keys).alias("k")).select("fp", "k.*")
+    crowded = placed.groupBy("table", "node").count().where(F.col("count") > chunk).select("table", "node", F.lit(True).alias("crowded"))
+    split = placed.join(crowded, ["table", "node"], "left")
+    # a crowded node: the descendant itself, and with each other descendant near it the pair, whose lesser one is side 0
+    patterns = F.array(*(F.lit(x) for x in range(1 << levels) if x.bit_count() <= budget))
+    near = F.transform(patterns, lambda x: F.struct(F.least(F.col("below"), F.col("below").bitwiseXOR(x)).alias("lo"), x.cast("long").alias("bits"),
+                                                    F.when(x == 0, 2).when(F.col("below") < F.col("below").bitwiseXOR(x), 0).otherwise(1).alias("side")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("bits"), F.lit(2).alias("side")))
+    units = split.select("fp", "table", "node", F.explode(F.when(F.col("crowded"), near).otherwise(whole)).alias("u"))
+    units = units.select(F.xxhash64("table", "node", "u.lo", "u.bits").alias("unit"), "table", "u.side", "fp")
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_walk(budget, agree), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, agree: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, agree: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id) per row: component_id is the least id reachable over links.
 
     Texts without words have fingerprint zero and link like others; null text counts as empty.
@@ -235,13 +250,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, agree: i
     null if it has none. Repeated rows stay. An empty table gives an empty table.
     """
     prints = common.materialize(fingerprints(docs, shingle, id_col, text_col), "prints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = common.materialize(graph.components(links(least.select("fp"), budget, agree)), "roots")
+    least = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints-least")
+    found = common.materialize(links(least.select("fp"), budget, agree), "prints-links")
+    roots = common.materialize(graph.components(found), "roots")
+    common.discard(found)
     linked = roots.join(least, roots.node == least.fp).select("fp", "root", "least")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(names, "root").select(F.col("node").alias("fp"), "component_id")
     classes = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return common.spread_join(prints, classes, ["fp"], F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ SHORT = 46
 
 def _again(keys: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that sorts keys (with their checks), where a new one begins in it, and how many there are of each."""
-    order = np.argsort(keys, kind="stable") if check is None else np.lexsort((check, keys))
+    order = np.argsort(keys) if check is None else np.lexsort((check, keys))
     k = keys[order]
     new = np.ones(len(k), dtype=bool)
     new[1:] = k[1:] != k[:-1]
@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, batches: int = 2, index: W
         level = [np.frombuffer(e, np.uint8, len(k)) for e, k in zip(known["extra"], keys)]
         check = [np.frombuffer(e, "<u4", len(k), len(k)) for e, k in zip(known["extra"], keys)] if lasting else None
         everything = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(everything, kind="stable") if not lasting or not keys else np.lexsort((np.concatenate(check), everything))
+        order = np.argsort(everything) if not lasting or not keys else np.lexsort((np.concatenate(check), everything))
         everything, levels = everything[order], np.concatenate(level)[order] if keys else np.empty(0, np.uint8)
         checks = np.concatenate(check)[order] if lasting and keys else None
         out = []
