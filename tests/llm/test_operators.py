@@ -361,7 +361,7 @@ def test_surrogates_stay_distinct(spark):
 # ---- 6 ----
 
 
-@pytest.mark.parametrize(("limit", "bits"), [(500, 20), (2000, 2), (10**9, 20)])
+@pytest.mark.parametrize(("limit", "bits"), [(500, 20), (2000, 2), (10**9, 20), (3000, None), (1, 3)])
 def test_shards_fit(docs, nothing, limit, bits):
     rows = sharding.shard(docs, limit, cell_bits=bits).collect()
     place = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:15], 16)
@@ -378,6 +378,24 @@ def test_shards_fit(docs, nothing, limit, bits):
     assert sharding.shard(nothing, limit).count() == 0
 
 
+def test_directory_covers_each_slot_once(spark):
+    cells = spark.createDataFrame([(k, 10 if k % 7 else 90, 2) for k in range(64)], "cell long, bytes long, docs long")
+    closed, large = sharding.buckets(cells, 6, 100)
+    rows = sharding.slots(closed, 6).collect()
+    assert sorted(r.slot for r in rows) == list(range(64)) and large.count() == 0
+    assert all(r.shard_bytes <= 100 and r.slot >> (6 - r.depth) == r.prefix for r in rows)
+
+
+def test_shards_are_written_whole(spark, docs, nothing, tmp_path):
+    sharding.write_shards(docs, 5000, f"file://{tmp_path}/shards")
+    back = spark.read.option("basePath", f"file://{tmp_path}/shards").parquet(f"file://{tmp_path}/shards")
+    assert ordered(back.select(*docs.columns).collect()) == ordered(docs.collect())
+    assert back.groupBy("doc_id").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0 and back.select("shard").distinct().count() > 3
+    sharding.write_shards(nothing, 10, f"file://{tmp_path}/none")
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("Shard", F.lit(1)), 10, f"file://{tmp_path}/clash")
+
+
 # ---- 7 ----
 
 
@@ -395,6 +413,61 @@ def test_secrets(spark, nothing):
     assert secret_scan.scan(nothing).count() == 0 and secret_scan.redact(nothing).count() == 0
 
 
+def brute_secrets(rows):
+    """Base spans and candidates by plain loops, and the candidates' owners."""
+    def base(t):
+        out = []
+        for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+            out += [(m.start(), 0, m.end(), m[2])] * (len(m[2]) >= 6)
+        for kind, pattern, least in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)):
+            out += [(m.start(), kind, m.end(), m[0]) for m in re.finditer(pattern, t) if len(m[0]) >= least]
+        return sorted(out)
+
+    def runs(t):
+        letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+        at = 0
+        while at < len(t):
+            end = at
+            while end < len(t) and t[end] in letters:
+                end += 1
+            value = t[at:end]
+            counts = [value.count(c) / max(1, len(value)) for c in set(value)]
+            if len(value) >= 20 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and -sum(p * math.log2(p) for p in counts) >= 3:
+                yield at, 3, end, value
+            at = max(end, at + 1)
+
+    spans, owners = [], {}
+    for _, t, _, source in rows:
+        found = base(t or "")
+        found += [x for x in runs(t or "") if not any(b[0] < x[2] and x[0] < b[2] for b in found)]
+        spans.append(found)
+        for x in found:
+            owners.setdefault(x[3], set()).add(source or "")
+    return [[x[:3] + (len(owners[x[3]]) >= 3,) for x in sorted(found) if x[1] < 3 or len(owners[x[3]]) < 3] for found in spans]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_secrets_are_those_of_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    values = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789", k=rng.randrange(18, 400))) for _ in range(12)]
+    pieces = ["password: ", "API_KEY=\"", "token = 'ab12cd'", "secret", "AKIA" + "Z9" * 8, "AKIAshort", "0123456789abcdef" * 2, "plain words é", "日本", "\n", "--", "=", "passwd:x"]
+    rows = [(k, "".join(rng.choice([*pieces, " ", rng.choice(values)]) for _ in range(rng.randrange(30))), "en", rng.choice(["s1", "s2", "s3", "s4", None])) for k in range(150)]
+    rows += [(200, None, None, None), (201, "", "en", "s1")] + [(7777, f"copy {values[0]}", "en", "s1")] * 40
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)).collect()
+    want = [(r[0], tuple(map(tuple, spans))) for r, spans in zip(rows, brute_secrets(rows))]
+    assert ordered((r.doc_id, tuple((s.start, s.kind, s.end, s.example) for s in r.found)) for r in got) == ordered(want)
+
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.createDataFrame([(1, k) for k in range(3000)] + [(k, k) for k in range(2, 50)] + [(None, 0)], "key long, n long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(40)], "key long, v string")
+    for how, n in (("inner", 3038), ("left", 3049)):
+        out = common.spread_join(rows, table, ["key"], how)
+        assert out.count() == n and out.columns == ["key", "n", "v"] and {r.v for r in out.where("key = 1").collect()} == {"v1"}
+    plan = common.spread_join(rows, table, ["key"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_spread_part" in plan
+
+
 @pytest.mark.parametrize("size", [256, 257, 342, 5000])
 def test_long_runs_are_candidates(size):
     run = "".join(random.Random(size).choices("abcdefghijkXYZ0123456789_-", k=size))

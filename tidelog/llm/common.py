@@ -215,25 +215,26 @@ def binary_values(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
 HOT_SHARE, HOT_PARTS = 1 / 1000, 64
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: list[str], spread: Column, how: str = "inner") -> DataFrame:
-    """rows joined to a table with unique keys, the rows of hot keys dealt over HOT_PARTS tasks by `spread`.
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to a table with unique keys, the rows of hot keys dealt over HOT_PARTS tasks.
 
-    rows must be materialized, as its keys are counted first. The hot keys are broadcast: by
-    their definition they are 1000 at most. Null keys never match.
+    rows should come from a materialized table, as its keys are counted first. The hot keys are
+    broadcast: by their definition they are 1000 at most. Null keys never match. Names that
+    begin with _spread are used inside.
     """
-    counts = rows.groupBy(*key).agg(F.count("*").alias("_rows"))
     total = rows.count()
-    hot = counts.where(F.col("_rows") > F.lit(max(1000, int(total * HOT_SHARE)))).select(*(F.col(k).alias(f"_hot_{k}") for k in key)).withColumn("_is_hot", F.lit(True))
-    hot = F.broadcast(materialize(hot, "hot-keys"))
+    hot = rows.groupBy(*key).agg(F.count("*").alias("_spread_n")).where(F.col("_spread_n") > max(1000, int(total * HOT_SHARE)))
+    hot = F.broadcast(materialize(hot.select(*(F.col(k).alias(f"_spread_{k}") for k in key), F.lit(True).alias("_spread_hot")), "hot-keys"))
 
     def marked(df: DataFrame) -> DataFrame:
-        on = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in key]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        return df.join(hot, cond, "left").drop(*(f"_hot_{k}" for k in key))
-
-    left = marked(rows).withColumn("_part", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS))).otherwise(0).cast("int")).drop("_is_hot")
-    parts = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    right = marked(table).withColumn("_part", F.explode(parts)).drop("_is_hot")
-    return left.join(right, [*key, "_part"], how).drop("_part")
+        same = F.lit(True)
+        for k in key:
+            same = same & (F.col(k) == F.col(f"_spread_{k}"))
+        return df.join(hot, same, "left").drop(*(f"_spread_{k}" for k in key))
+
+    # equal rows are told apart by where they stand in the table
+    numbered = marked(rows.withColumn("_spread_at", F.monotonically_increasing_id()))
+    left = numbered.withColumn("_spread_part", F.when(F.col("_spread_hot"), F.pmod(F.xxhash64("_spread_at"), F.lit(HOT_PARTS))).otherwise(0).cast("int")).drop("_spread_hot", "_spread_at")
+    parts = F.when(F.col("_spread_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(table).withColumn("_spread_part", F.explode(parts)).drop("_spread_hot")
+    return left.join(right, [*key, "_spread_part"], how).drop("_spread_part")

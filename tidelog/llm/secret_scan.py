@@ -80,7 +80,7 @@ def candidates(docs: DataFrame, owner: Column, repository: Column, id_col: str =
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories, example boolean) of every candidate value; null owners count as one."""
+    """(hash, owners, repositories, example boolean) of every candidate value; null owners count as one; none gives none."""
     each = found.select(F.explode("spans.hash").alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"))
     pairs = each.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
@@ -103,20 +103,26 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     # rows alike in id and text have the same spans, so one answer serves them
     key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("text_hash").alias("t")]
     some = found.where(F.size("spans") > 0).select(*key, "spans").dropDuplicates(["k", "t"])
-    spans = some.select("k", "t", F.explode("spans").alias("s")).join(counts.select("hash", "example"), F.col("s.hash") == F.col("hash"))
-    spans = spans.where((F.col("s.kind") < 3) | ~F.col("example"))
-    kept = spans.groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", "example"))).alias("found"))
-    rows = found.select("doc_id", "text_hash", *key).join(kept, ["k", "t"], "left")
+    each = common.materialize(some.select("k", "t", F.explode("spans").alias("s")).select("k", "t", "s.start", "s.kind", "s.end", "s.hash"), "secret-spans")
+    spans = common.spread_join(each, counts.select("hash", "example"), ["hash"])
+    spans = spans.where((F.col("kind") < 3) | ~F.col("example"))
+    kept = spans.groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "example"))).alias("found"))
+    rows = common.spread_join(found.select("doc_id", "text_hash", *key), kept, ["k", "t"], "left")
     return rows.select("doc_id", "text_hash", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean>>")).alias("found"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<secret>") -> DataFrame:
-    """docs with every found value that isn't a widely copied example replaced by mark; other columns and rows as they were."""
-    found = scan(docs, id_col=id_col, text_col=text_col).select(F.coalesce("doc_id", F.lit(0)).alias("__k"), F.col("text_hash").alias("__t"), F.filter("found", lambda s: ~s["example"]).alias("__found"))
-    found = found.where(F.size("__found") > 0).dropDuplicates(["__k", "__t"])
+    """docs with every found value that isn't a widely copied example replaced by mark; other columns and rows as they were.
+
+    Null text stays null; spans that overlap give one mark; rows alike in id and text are
+    treated alike; columns may have any names; empty in, empty out.
+    """
+    found = scan(docs, id_col=id_col, text_col=text_col).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"), F.filter("found", lambda s: ~s["example"]).alias("spans"))
+    found = common.materialize(found.where(F.size("spans") > 0).dropDuplicates(["id", "hash"]), "secret-found")
     text = F.col(f"`{text_col}`")
-    keyed = docs.withColumns({"__k0": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "__t0": F.xxhash64(text)})
-    joined = keyed.join(found, (F.col("__k0") == F.col("__k")) & (F.col("__t0") == F.col("__t")), "left")
+    keyed = docs.select(common.row_of(docs), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("k"), F.xxhash64(text).alias("t"))
+    joined = keyed.join(found, (F.col("k") == F.col("id")) & (F.col("t") == F.col("hash")), "left")
+    text = F.col("row")[text_col]
     # the text between the spans, each span giving what lies between the end of those before it and its start
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -126,8 +132,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         add = F.when(x["start"] >= s["at"], F.concat(gap, F.lit(mark))).otherwise("")
         return F.struct(F.concat(s["out"], add).alias("out"), new.alias("at"))
 
-    clean = F.aggregate("__found", state, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    return joined.withColumn(text_col, F.when(F.col("__found").isNull(), text).otherwise(clean)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    clean = F.aggregate("spans", state, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    return joined.select(*((clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:

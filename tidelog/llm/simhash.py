@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, agree: i
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(names, "root").select(F.col("node").alias("fp"), "component_id")
     classes = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return common.spread_join(prints, classes, ["fp"], F.col("doc_id")).select("doc_id", "fp", "component_id")
+    return common.spread_join(prints, classes, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
