@@ -50,7 +50,10 @@ class Layout:
     def __init__(self, docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES):
         total = docs.select(F.sum(F.octet_length(f"`{text_col}`").cast("long")).alias("n")).first().n or 0
         self.blocks = max(1, -(-total // block_bytes))
-        self.bucket_bits = max(7, (self.blocks // 4).bit_length())
+
+    def bucket_bits(self, a_block: float, least: int, most: int = 20) -> int:
+        """Bits of a bucket's number for about so many buckets a block, within limits."""
+        return min(most, max(least, int(self.blocks * a_block).bit_length()))
 
     def deal(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(block int, blob binary): the rows of docs, several to a blob; null text is empty."""

@@ -215,15 +215,18 @@ def binary_values(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
 HOT_SHARE, HOT_PARTS = 1 / 1000, 64
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined (inner or left) to a table with unique keys, the rows of hot keys dealt over HOT_PARTS tasks.
 
-    rows should come from a materialized table, as its keys are counted first. The hot keys are
-    broadcast: by their definition they are 1000 at most. Null keys never match. Names that
-    begin with _spread are used inside.
+    rows should come from a materialized table, as its keys are counted first, unless counts has
+    them (key, _spread_n) for those rows that matter. The hot keys are broadcast: by their
+    definition they are 1000 at most. Null keys never match. Names that begin with _spread are
+    used inside.
     """
-    total = rows.count()
-    hot = rows.groupBy(*key).agg(F.count("*").alias("_spread_n")).where(F.col("_spread_n") > max(1000, int(total * HOT_SHARE)))
+    if counts is None:
+        counts = rows.groupBy(*key).agg(F.count("*").alias("_spread_n"))
+    total = counts.agg(F.sum("_spread_n").alias("n")).first().n or 0
+    hot = counts.where(F.col("_spread_n") > max(1000, int(total * HOT_SHARE)))
     hot = F.broadcast(materialize(hot.select(*(F.col(k).alias(f"_spread_{k}") for k in key), F.lit(True).alias("_spread_hot")), "hot-keys"))
 
     def marked(df: DataFrame) -> DataFrame:

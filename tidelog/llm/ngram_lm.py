@@ -20,6 +20,8 @@ from tidelog.llm import blocks, common
 
 #: The n-gram of no words: it is held once for each word of the corpus, and is the context of a single word.
 NO_WORDS = np.uint64(0x9D39247E33776D41)
+#: Bytes of text in a block, about; buckets a block, which keeps the hash tables of a bucket's counts within a processor's cache; most buckets.
+BLOCK_BYTES, A_BLOCK, MOST_BITS = 8 << 20, 4, 18
 CELLS = "bucket int, block int, keys array<bigint>, counts array<int>"
 SCORES = "doc_id long, n_words long, n_full long, log_score double"
 
@@ -76,9 +78,8 @@ class _Block:
         """Takes the corpus counts of what ask() asked for, from order `needed` on; a key without reply is held by this block alone."""
         keys, totals, places, slots = self.ask(orders)
         start = {bucket: a for bucket, a, _ in blocks.cuts(keys, self.bits)}
-        for bucket, found in zip(replies["bucket"], replies["found"]):
-            found = np.asarray(found, dtype=np.int64)
-            totals[start[bucket] + (found >> 42)] = found & (1 << 42) - 1
+        for bucket, at, total in zip(replies["bucket"], replies["at"], replies["total"]):
+            totals[start[bucket] + np.asarray(at, dtype=np.int64)] = total
         if orders[0] == 1:
             self.all_words = int(totals[np.searchsorted(keys, NO_WORDS)])
         for n, at, slot in zip(orders, places, slots):
@@ -121,8 +122,8 @@ class _Block:
 #: The count table is partitioned by hash bucket as the exploded n-grams are, so joining them back to it takes no exchange.
 #: rand() is always below 1; with it Spark makes the dealt cells once for both uses, where it would inline what is deterministic.
 REPLIES = """
-WITH dealt AS (SELECT /*+ REPARTITION(bucket) */ bucket, block, keys, IF(rand() < 1, counts, NULL) AS counts FROM {cells})
-SELECT /*+ SHUFFLE_HASH(held) */ gram.block, gram.bucket, collect_list(shiftleft(CAST(gram.at AS BIGINT), 42) | held.total) AS found
+WITH dealt AS (SELECT /*+ REPARTITION({parts}, bucket) */ bucket, block, keys, IF(rand() < 1, counts, NULL) AS counts FROM {cells})
+SELECT /*+ SHUFFLE_HASH(held) */ gram.block, gram.bucket, collect_list(gram.at) AS at, collect_list(held.total) AS total
 FROM (SELECT bucket, block, at, key FROM dealt LATERAL VIEW posexplode(keys) AS at, key) AS gram
 JOIN (SELECT bucket, key, sum(counts[at]) AS total FROM dealt LATERAL VIEW posexplode(keys) AS at, key GROUP BY bucket, key HAVING count(*) > 1) AS held
   ON gram.bucket = held.bucket AND gram.key = held.key
@@ -130,15 +131,12 @@ GROUP BY gram.block, gram.bucket
 """
 
 
-def replies_to(cells: DataFrame) -> DataFrame:
-    """(block, bucket, found array<bigint>) of CELLS rows: a cell's n-grams that other blocks hold as well.
-
-    Each is its place in the cell times 2^42 (a cell is of one block, so it has few) plus its corpus count.
-    """
-    return cells.sparkSession.sql(REPLIES, cells=cells)
+def replies_to(cells: DataFrame, parts: int) -> DataFrame:
+    """(block, bucket, at array<int>, total array<bigint>) of CELLS rows: the places in the cell of those n-grams that other blocks hold as well, and their corpus counts."""
+    return cells.sparkSession.sql(REPLIES, cells=cells, parts=parts)
 
 
-def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool = True, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool = True, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words long, n_full long, log_score double, per_word double) for every row.
 
     log_score sums ln S over the words: S = c(w1..wn) / c(w1..wn-1) for the longest n <= order
@@ -153,7 +151,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool =
         raise ValueError("order must be positive")
     layout = blocks.Layout(docs, text_col, block_bytes)
     dealt = layout.deal(docs, id_col, text_col)
-    bits = layout.bucket_bits
+    bits = layout.bucket_bits(A_BLOCK, 3, MOST_BITS)
     rounds = [tuple(range(1, min(order, 2) + 1)), *((n,) for n in range(3, order + 1))]
     replies = None
 
@@ -180,7 +178,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool =
             asked = dealt.groupBy("block").applyInPandas(lambda rows: cells(rows, None, 0), CELLS)
         else:
             asked = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(later(k), CELLS)
-        answered = common.materialize(replies_to(asked).withColumn("round", F.lit(k)), "ngram-counts", {common.HASHED_GROUPS: str(1 << 20), common.TWO_MAPS: "false"})
+        answered = common.materialize(replies_to(asked, 1 << bits).withColumn("round", F.lit(k)), "ngram-counts", {common.HASHED_GROUPS: str(1 << 20), common.TWO_MAPS: "false"})
         replies = answered if replies is None else replies.unionByName(answered)
 
     def run(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:

@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, batches: int = 2, index: W
     dealt = layout.deal(docs, id_col, text_col)
     own = index is None
     if own:
-        index = WindowIndex(spark, f"{common.scratch_dir(spark)}/window-index-{uuid.uuid4().hex}", SHORT, bucket_bits=layout.bucket_bits)
+        index = WindowIndex(spark, f"{common.scratch_dir(spark)}/window-index-{uuid.uuid4().hex}", SHORT, bucket_bits=layout.bucket_bits(0.25, 7))
     key_bits, top, lasting, form = index.bits, index.bucket_bits, index.lasting, index.format
     cut_off = np.uint64(64 - key_bits)
 
