@@ -163,6 +163,16 @@ def test_one_of_each_group_stays(docs, nothing):
     assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(nothing).count() == 0
 
 
+def test_equal_ids_and_wordless_rows(spark):
+    one, other = "first text of five words or more here", "quite another text that shares nothing with it"
+    rows = [(3, one), (5, one), (5, other), (8, None), (8, None), (9, ""), (9, ""), (11, other), (11, other), (None, one), (None, one), (12, "third text alone but twice there"), (12, "third text alone but twice there")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, gone int")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(3, one), (5, other), (8, None), (8, None), (9, ""), (9, ""), (None, one), (None, one), (12, rows[-1][1])], key=repr)
+    near = [(5, "a b c d e f g h i j k l m n o p q r s t u v w x y"), (5, "a b c d e f g h i j k l m n o p q r s t u v w x z")]
+    assert simhash.keep_one(spark.createDataFrame(near, "doc_id long, text string")).count() == 1
+
+
 def near_copies(seed=4):
     """Texts around similarity 0.8, on both sides, an exact copy of each kind, short texts and a line that all hold."""
     rng = random.Random(seed)

@@ -261,25 +261,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, agree: i
     return common.spread_join(prints, classes, ["fp"]).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near copies (Jaccard similarity of 0.8 or more, verified) of a document that stays: of each component the row of least id.
 
-    Fingerprints don't hold that line at any budget, so candidates are those of jaccard.
-    Rows without words, or with a null id, stay all. Of rows with equal ids and equal
-    texts one stays. Empty in, empty out.
+    Candidates are the links of the trie of fingerprints within budget, and, as no small budget
+    holds the 0.8 line, texts that share a rare shingle; each is verified, so the links kept are all
+    pairs of 0.8 or more and no others. Rows without words, or with a null id, stay all. Of rows
+    with equal ids and equal texts one stays; rows with equal ids and other texts are documents of
+    their own. Columns may have any names. Empty in, empty out.
     """
     text = F.col(f"`{text_col}`")
-    found = jaccard.components(docs.where(text.rlike(common.WORD)).select(id_col, text_col), shingle, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__t")).distinct()
-    gone = common.materialize(gone, "gone")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    keyed = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(text).alias("__text"))
-    again = keyed.where(F.col("__id").isNotNull() & F.col("__text").isNotNull()).groupBy(F.col("__id").alias("__i"), F.col("__text").alias("__t")).count().where("count > 1")
-    again = common.materialize(again.select("__i", "__t"), "again")
-    same = (F.col("__id") == F.col("__i")) & (F.col("__text") == F.col("__t"))
-    rest = keyed.join(gone, same, "left_anti")
-    once = rest.join(again, same, "left_semi").dropDuplicates(["__id", "__text"])
-    return rest.join(again, same, "left_anti").union(once).select("__row.*")
+    found = jaccard.components(docs.where(text.rlike(common.WORD)).select(id_col, text_col), shingle, id_col, text_col, lambda prints: links(prints, budget))
+    found = common.materialize(found.where("doc_id is not null").groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("rows")), "found")
+    # of the rows that bear their component's id the one of least text hash stays: ids needn't be unique
+    first = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first"))
+    marks = found.join(first, "component_id").select("doc_id", "text_hash", ((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.col("first"))).alias("gone"), (F.col("rows") > 1).alias("again"))
+    marks = common.materialize(marks.where("gone or again"), "marks")
+    keyed = docs.select(common.row_of(docs), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.rlike(common.WORD).alias("worded"))
+    joined = keyed.join(marks, F.col("worded") & (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left").where(~F.coalesce("gone", F.lit(False)))
+    if marks.where("again and not gone").isEmpty():
+        return joined.select("row.*")
+    again = F.coalesce("again", F.lit(False))
+    return joined.where(~again).select("row").union(joined.where(again).dropDuplicates(["id", "hash"]).select("row")).select("row.*")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
