@@ -36,7 +36,7 @@ class GuestFailed(StoreError):
 
     def __init__(self, exit_code: int, output: object = None):
         super().__init__(f"module failed with code {exit_code}: {output}")
-        self.exit_code, self.output = exit_code, output
+        self.exit_code, self.output = exit_code or 1, output
 
 
 class ProvenanceMismatch(StoreError):
@@ -51,5 +51,13 @@ class JournalGap(StoreError):
     code = "JOURNAL_GAP"
 
 
+class OutputViolation(ModuleError):
+    """A module's output doesn't fit what it declares; committed tells whether its writes were."""
+
+    def __init__(self, message: str, committed: bool = False):
+        super().__init__(message)
+        self.committed = committed
+
+
 class Lagged(StoreError):
     code = "LAGGED"

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.errors import InvalidArgument
-from tidelog.functions.codecs import in_range, prefix_end
+from tidelog.functions.codecs import in_range, prefix_end, text_prefix_end
 
 
 def versioned(log: DataFrame, seqno: int | None = None) -> DataFrame:
@@ -34,10 +34,8 @@ def scan(log: DataFrame, lo: object = None, hi: object = None, seqno: int | None
 
 
 def scan_prefix(log: DataFrame, prefix: str | bytes, seqno: int | None = None, reverse: bool = False) -> DataFrame:
-    raw = prefix.encode() if isinstance(prefix, str) else prefix
-    end = prefix_end(raw)
-    hi = end if end is None or isinstance(prefix, bytes) else end.decode()
-    return scan(log, prefix if raw else None, hi, seqno, reverse)
+    hi = text_prefix_end(prefix) if isinstance(prefix, str) else prefix_end(prefix)
+    return scan(log, prefix if prefix else None, hi, seqno, reverse)
 
 
 def get(log: DataFrame, key: object, seqno: int | None = None) -> DataFrame:
@@ -46,7 +44,7 @@ def get(log: DataFrame, key: object, seqno: int | None = None) -> DataFrame:
 
 
 def page(log: DataFrame, limit: int, lo: object = None, hi: object = None, after: object = None, reverse: bool = False, seqno: int | None = None, most: int = 10_000) -> DataFrame:
-    """(rank, key, seqno, value, has_more): limit rows strictly past the cursor `after`."""
+    """(rank, key, seqno, value, has_more, next_after): limit rows strictly past the cursor `after`; next_after, the last key, only if there are more."""
     if not 1 <= limit <= most:
         raise InvalidArgument(f"limit is 1 to {most}")
     rows = log.where(in_range(F.col("key"), lo, hi))
@@ -56,7 +54,8 @@ def page(log: DataFrame, limit: int, lo: object = None, hi: object = None, after
     some = latest(rows, seqno).orderBy(order).limit(limit + 1)
     ranked = some.withColumn("rank", F.row_number().over(W.orderBy(order)))
     ranked = ranked.withColumn("has_more", F.max("rank").over(W.partitionBy()) > limit)
-    return ranked.where(F.col("rank") <= limit).select("rank", "key", "seqno", "value", "has_more")
+    ranked = ranked.withColumn("next_after", F.when(F.col("has_more"), F.max(F.when(F.col("rank") == limit, F.col("key"))).over(W.partitionBy())))
+    return ranked.where(F.col("rank") <= limit).select("rank", "key", "seqno", "value", "has_more", "next_after")
 
 
 def _by_key() -> W:
@@ -152,6 +151,13 @@ def clamp(lo: Column, hi: Column, scope_lo: object, scope_hi: object) -> tuple[C
     return F.greatest(lo, F.lit(scope_lo)), F.least(hi, F.lit(scope_hi))
 
 
+def in_scope(key: bytes, scope_lo: bytes | None, scope_hi: bytes | None) -> bytes:
+    """key, or InvalidArgument if a replica of that scope can't know it."""
+    if (scope_lo is not None and key < scope_lo) or (scope_hi is not None and key >= scope_hi):
+        raise InvalidArgument("the key is outside the replica's scope")
+    return key
+
+
 def overlay(slice_: DataFrame, stream: DataFrame, flushed: int) -> DataFrame:
     """A replica's state: its slice under the stream changes past the slice's flushed seqno."""
     return latest(slice_.unionByName(stream.where(F.col("seqno") > flushed)))

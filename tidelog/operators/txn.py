@@ -7,10 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def assign_seqnos(ops: DataFrame, base: int, order: str = "ord") -> DataFrame:
-    """Contiguous seqnos in batch order; the batch's last is every op's commit_seqno. One batch is one writer's, so one task numbers it."""
-    rows = ops.withColumn("seqno", F.lit(base) + F.row_number().over(W.orderBy(order)))
-    return rows.withColumn("commit_seqno", F.max("seqno").over(W.partitionBy()))
+def assign_seqnos(ops: DataFrame, base: int, order: str = "ord", parts: int = 1024) -> DataFrame:
+    """Contiguous seqnos in batch order (a number, unique); the batch's last is every op's commit_seqno.
+
+    Ops are numbered within ranges of their order, and the ranges one after the other, so no
+    task holds the whole batch. An empty batch stays empty.
+    """
+    span = ops.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n")).first()
+    width = max(1, -(-((span.b or 0) - (span.a or 0) + 1) // parts))
+    rows = ops.withColumn("_part", F.floor((F.col(order) - (span.a or 0)) / width))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(order))
+    numbered = rows.withColumn("_own", own).join(F.broadcast(before), F.col("_part") == F.col("_of"))
+    return numbered.withColumns({"seqno": F.lit(base) + F.col("_before") + F.col("_own"), "commit_seqno": F.lit(base + span.n)}).drop("_part", "_own", "_of", "_before")
 
 
 def overlay(state: DataFrame, writes: DataFrame, order: str = "ord") -> DataFrame:
@@ -23,8 +33,14 @@ def overlay(state: DataFrame, writes: DataFrame, order: str = "ord") -> DataFram
 
 
 def conflicts(keys: DataFrame, log: DataFrame) -> DataFrame:
-    """Rows of keys (key, snap) whose key has a version, tombstones included, past the snapshot."""
-    newest = log.groupBy("key").agg(F.max("seqno").alias("newest"))
+    """Rows of keys (key, snap) whose key has a version, tombstones included, past the snapshot.
+
+    Only what came after the earliest snapshot is read, and only the keys asked for are aggregated.
+    """
+    least = keys.agg(F.min("snap").alias("s")).first().s
+    newer = log.where(F.col("seqno") > least) if least is not None else log.where("false")
+    touched = newer.join(keys.select("key").distinct(), "key", "left_semi")
+    newest = touched.groupBy("key").agg(F.max("seqno").alias("newest"))
     return keys.join(newest, "key").where(F.col("newest") > F.col("snap"))
 
 

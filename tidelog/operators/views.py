@@ -43,8 +43,10 @@ def deltas(log: DataFrame, group: str, amount: str) -> DataFrame:
 
 
 def fold(changes: DataFrame, group: str, amount: str) -> DataFrame:
-    """The view that the deltas add up to; groups without records are gone."""
-    return changes.groupBy(group).agg(F.sum("orders").cast("long").alias("orders"), F.sum(amount).cast("long").alias(amount)).where("orders > 0")
+    """The view that the deltas add up to; groups without records are gone, one with fewer than none fails the query."""
+    rows = changes.groupBy(group).agg(F.sum("orders").cast("long").alias("orders"), F.sum(amount).cast("long").alias(amount))
+    sound = F.when(F.col("orders") < 0, F.raise_error(F.concat(F.lit("a group has fewer records than none: "), F.col(group).cast("string")))).otherwise(F.col("orders"))
+    return rows.withColumn("orders", sound.cast("long")).where("orders > 0")
 
 
 def postings(records: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
@@ -68,12 +70,39 @@ def touched(log: DataFrame, after: int) -> DataFrame:
 def pending(log: DataFrame, triggers: DataFrame) -> DataFrame:
     """(name, pending): rows in each trigger's range [lo, hi) past its offset; coalesced by key in keys mode.
 
-    Triggers are few and named by people, so they are broadcast when Spark finds them small.
+    Triggers are few and named by people: their ranges become one array in the plan, and each
+    log row is tried against it, so that there is no join of ranges.
     """
-    rows = log.where("origin = 'user'").select(F.col("key").alias("k"), "seqno")
-    hit = triggers.join(rows, (F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi")) & (F.col("seqno") > F.col("offset")), "left")
-    n = F.when(F.first("mode") == "keys", F.count_distinct("k")).otherwise(F.count("k"))
-    return hit.groupBy("name").agg(n.cast("long").alias("pending"))
+    few = triggers.select("name", "lo", "hi", "offset", "mode").collect()
+    if not few:
+        return triggers.select("name", F.lit(0).cast("long").alias("pending"))
+    key, seqno = F.col("key"), F.col("seqno")
+    hit = F.array(*(F.when((key >= F.lit(t.lo)) & (key < F.lit(t.hi)) & (seqno > t.offset), F.lit(k)) for k, t in enumerate(few)))
+    rows = log.where("origin = 'user'").select("key", F.explode(F.array_compact(hit)).alias("t"))
+    # distinct keys are counted from one row a trigger and key
+    by_key = rows.groupBy("t", "key").agg(F.count("*").alias("n")).groupBy("t").agg(F.count("*").alias("keys"), F.sum("n").alias("changes"))
+    names = triggers.sparkSession.createDataFrame([(k, t.name, t.mode) for k, t in enumerate(few)], "t int, name string, mode string")
+    n = F.coalesce(F.when(F.col("mode") == "keys", F.col("keys")).otherwise(F.col("changes")), F.lit(0))
+    return names.join(by_key, "t", "left").select("name", n.cast("long").alias("pending"))
+
+
+def orphans(queue: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Rows of a queue (name, ...) whose trigger no longer exists."""
+    return queue.join(triggers.select("name").distinct(), "name", "left_anti")
+
+
+def spec_changes(desired: DataFrame, active: DataFrame) -> DataFrame:
+    """(name, action, field, active_field) of index specs (name, field): create, drop or swap; equal ones are left out."""
+    both = desired.select("name", "field").join(active.select("name", F.col("field").alias("active_field")), "name", "full_outer")
+    action = F.when(F.col("active_field").isNull(), "create").when(F.col("field").isNull(), "drop").when(F.col("field") != F.col("active_field"), "swap")
+    return both.withColumn("action", action).where("action IS NOT NULL").select("name", "action", "field", "active_field")
+
+
+def current_values(changes: DataFrame, state: DataFrame) -> DataFrame:
+    """changes (key, kind, value, elided) with the values that were left out read from the current state (key, value)."""
+    now = state.select(F.col("key").alias("_key"), F.col("value").alias("_now"))
+    rows = changes.join(now, (F.col("key") == F.col("_key")) & F.col("elided"), "left")
+    return rows.withColumn("value", F.when(F.col("elided"), F.col("_now")).otherwise(F.col("value"))).drop("_key", "_now")
 
 
 def cascade(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:

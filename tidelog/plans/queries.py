@@ -55,13 +55,13 @@ def scan_prefix(spark, d):
 @_query(EVENT_LOG + f"""SELECT rank, key, seqno, value, n > 10 AS has_more FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY key) AS rank
   FROM (SELECT * FROM ({_STATE.format(where="WHERE key > 'usr/00000040'")}) ORDER BY key LIMIT 11)) WHERE rank <= 10""")
 def scan_page_after(spark, d):
-    return mvcc.page(event_log(spark, d), 10, after="usr/00000040")
+    return mvcc.page(event_log(spark, d), 10, after="usr/00000040").drop("next_after")
 
 
 @_query(EVENT_LOG + f"""SELECT rank, key, seqno, value, n > 10 AS has_more FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY key DESC) AS rank
   FROM (SELECT * FROM ({_STATE.format(where="WHERE key < 'usr/00000040' AND key >= 'usr/00000010'")}) ORDER BY key DESC LIMIT 11)) WHERE rank <= 10""")
 def scan_page_reverse(spark, d):
-    return mvcc.page(event_log(spark, d), 10, lo="usr/00000010", after="usr/00000040", reverse=True)
+    return mvcc.page(event_log(spark, d), 10, lo="usr/00000010", after="usr/00000040", reverse=True).drop("next_after")
 
 
 @_query(EVENT_LOG + _STATE.format(where="WHERE key >= 'usr/00000090' AND key < 'usr/00000020'"))
