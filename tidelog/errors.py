@@ -1,6 +1,16 @@
 """One exception for each error code of the API."""
 
 
+import re
+
+
+def brief(error: Exception) -> str:
+    """What an error says; of a failed query what it raised, without the traces of the engine."""
+    text = str(error)
+    raised = re.search(r"\[USER_RAISED_EXCEPTION\] (.*?)(?: SQLSTATE|\n|$)", text)
+    return raised[1] if raised else text
+
+
 class StoreError(Exception):
     code = "IO"
 

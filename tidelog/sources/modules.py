@@ -197,7 +197,7 @@ class Module:
         except (errors.StoreError, MemoryError):
             raise
         except Exception as error:
-            raise errors.GuestFailed(1, f"{type(error).__name__}: {error}") from error
+            raise errors.GuestFailed(1, f"{type(error).__name__}: {errors.brief(error)}") from error
 
     def fitted(self, out: object, committed: bool) -> object:
         """The output as declared; OutputViolation if it doesn't fit, with whether its writes were committed."""
