@@ -12,7 +12,8 @@ it are held, as it can't be held otherwise.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from tidelog.llm import blocks, common
 #: The n-gram of no words: it is held once for each word of the corpus, and is the context of a single word.
 NO_WORDS = np.uint64(0x9D39247E33776D41)
 #: Bytes of text in a block, about; buckets a block, which keeps the hash tables of a bucket's counts within a processor's cache; most buckets.
-BLOCK_BYTES, A_BLOCK, MOST_BITS = 8 << 20, 4, 18
+BLOCK_BYTES, A_BLOCK, MOST_BITS = 4 << 20, 2, 18
 CELLS = "bucket int, block int, keys array<bigint>, counts array<int>"
 SCORES = "doc_id long, n_words long, n_full long, log_score double"
 
@@ -74,12 +75,14 @@ class _Block:
             counts[slot[-1]] = len(self.words)
         return keys, counts, places, np.split(slot, np.cumsum([len(p) for p in places]))[: len(places)]
 
-    def learn(self, orders: tuple[int, ...], replies: pd.DataFrame, needed: int = 1) -> None:
+    def learn(self, orders: tuple[int, ...], replies: pa.Table, needed: int = 1) -> None:
         """Takes the corpus counts of what ask() asked for, from order `needed` on; a key without reply is held by this block alone."""
         keys, totals, places, slots = self.ask(orders)
-        start = {bucket: a for bucket, a, _ in blocks.cuts(keys, self.bits)}
-        for bucket, at, total in zip(replies["bucket"], replies["at"], replies["total"]):
-            totals[start[bucket] + np.asarray(at, dtype=np.int64)] = total
+        if len(replies):
+            bucket, first, _ = _cuts(keys, self.bits)
+            at, total = replies["at"].combine_chunks(), replies["total"].combine_chunks()
+            start = first[np.searchsorted(bucket, replies["bucket"].to_numpy())]
+            totals[np.repeat(start, pc.list_value_length(at).to_numpy()) + at.flatten().to_numpy()] = total.flatten().to_numpy()
         if orders[0] == 1:
             self.all_words = int(totals[np.searchsorted(keys, NO_WORDS)])
         for n, at, slot in zip(orders, places, slots):
@@ -100,7 +103,7 @@ class _Block:
         own[order] = np.repeat(size, size)
         return own
 
-    def scores(self, order: int, alpha: float) -> pd.DataFrame:
+    def scores(self, order: int, alpha: float) -> pa.Table:
         others = np.full(len(self.doc), self.all_words) - (self.counts[self.doc] if self.held_out else 0)
         back = np.log(alpha)
         log = (order - 1) * back - np.log(others + 1.0)
@@ -113,10 +116,15 @@ class _Block:
             level[hit] = n
             before = np.concatenate(([0], held[:-1]))
         size = len(self.counts)
-        return pd.DataFrame({
-            "doc_id": pd.array(self.ids, dtype="Int64").to_numpy(dtype=object, na_value=None), "n_words": self.counts,
-            "n_full": np.bincount(self.doc[level == order], minlength=size), "log_score": np.bincount(self.doc, weights=log, minlength=size),
-        })
+        full, total = np.bincount(self.doc[level == order], minlength=size), np.bincount(self.doc, weights=log, minlength=size)
+        return pa.table({"doc_id": pa.array(self.ids, pa.int64()), "n_words": pa.array(self.counts), "n_full": pa.array(full.astype(np.int64)), "log_score": pa.array(total.astype(np.float64))})
+
+
+def _cuts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall into, where each begins, and all their limits."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return bucket[first], first, np.append(first, len(keys)).astype(np.int32)
 
 
 #: The count table is partitioned by hash bucket as the exploded n-grams are, so joining them back to it takes no exchange.
@@ -155,36 +163,41 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool =
     rounds = [tuple(range(1, min(order, 2) + 1)), *((n,) for n in range(3, order + 1))]
     replies = None
 
-    def block_of(rows: pd.DataFrame, got: pd.DataFrame | None, known: int) -> _Block:
-        block = _Block(rows["blob"], bits, held_out)
+    def block_of(rows: pa.Table, got: pa.Table | None, known: int) -> _Block:
+        block = _Block(rows["blob"].to_pylist(), bits, held_out)
         for k in range(known):
             # the next round looks at the last order of this one alone, the scores at all
-            block.learn(rounds[k], got[got["round"] == k], 1 if known == len(rounds) else rounds[k][-1])
+            block.learn(rounds[k], got.filter(pc.equal(got["round"], k)), 1 if known == len(rounds) else rounds[k][-1])
         return block
 
-    def cells(rows: pd.DataFrame, got: pd.DataFrame | None, k: int) -> pd.DataFrame:
-        names = ["bucket", "block", "keys", "counts"]
-        if not len(rows):
-            return pd.DataFrame(columns=names)
+    def cells(rows: pa.Table, got: pa.Table | None, k: int) -> pa.Table:
         keys, counts, _, _ = block_of(rows, got, k).ask(rounds[k])
-        number, keys_, counts_ = int(rows["block"].iloc[0]), keys.view(np.int64), counts.astype(np.int32)
-        return pd.DataFrame([(bucket, number, keys_[a:b], counts_[a:b]) for bucket, a, b in blocks.cuts(keys, bits)], columns=names)
+        bucket, _, limits = _cuts(keys, bits)
+        block = np.full(len(bucket), rows["block"][0].as_py() if len(rows) else 0, dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(limits), pa.array(x)) for x in (keys.view(np.int64), counts.astype(np.int32))]
+        return pa.table({"bucket": pa.array(bucket), "block": pa.array(block), "keys": lists[0], "counts": lists[1]})
+
+    def first(rows: pa.Table) -> pa.Table:
+        return cells(rows, None, 0)
 
     def later(k: int):
-        return lambda rows, got: cells(rows, got, k)
+        def asked(rows: pa.Table, got: pa.Table) -> pa.Table:
+            return cells(rows, got, k)
+
+        return asked
 
     for k in range(len(rounds)):
         if replies is None:
-            asked = dealt.groupBy("block").applyInPandas(lambda rows: cells(rows, None, 0), CELLS)
+            asked = dealt.groupBy("block").applyInArrow(first, CELLS)
         else:
-            asked = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(later(k), CELLS)
+            asked = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(later(k), CELLS)
         answered = common.materialize(replies_to(asked, 1 << bits).withColumn("round", F.lit(k)), "ngram-counts", {common.HASHED_GROUPS: str(1 << 20), common.TWO_MAPS: "false"})
         replies = answered if replies is None else replies.unionByName(answered)
 
-    def run(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table, got: pa.Table) -> pa.Table:
         return block_of(rows, got, len(rounds)).scores(order, alpha)
 
-    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, SCORES)
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORES)
     return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
