@@ -3,7 +3,7 @@ import pytest
 
 from tidelog.functions import codecs
 from tidelog.operators import mvcc, txn
-from tidelog.plans import queries
+from tidelog.plans import queries, store_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,21 +15,34 @@ def values(rows):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "nation part orders lineitem events documents".split():
+    for name in "region nation part orders lineitem events documents".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+BOTH = {**queries.QUERIES, **store_queries.QUERIES}
+ALL_SQL = {**queries.SQL, **store_queries.SQL}
+
+
+@pytest.mark.parametrize("name", sorted(BOTH))
 def test_query_matches_sql(spark, duck, name):
-    if name == "transfer_fold" or name == "occ_first_committer":
-        pytest.skip("recursive SQL, compared at the driver's scale")
-    got = queries.QUERIES[name](spark, SF)
+    if name not in ALL_SQL:
+        pytest.skip("no SQL: a test of its own")
+    got = BOTH[name](spark, SF)
     columns = sorted(got.columns)
-    want = duck.execute(f"SELECT {', '.join(f'\"{c}\"' for c in columns)} FROM ({queries.SQL[name]})").fetchall()
+    want = duck.execute(f"SELECT {', '.join(f'\"{c}\"' for c in columns)} FROM ({ALL_SQL[name]})").fetchall()
     assert values(map(tuple, got.select(*columns).collect())) == values(want)
 
 
+def test_range_filters_reach_the_files(spark):
+    store = store_queries._store(spark, SF)
+    rows = store.scan(b"usr/00000020", b"usr/00000090", store.snapshot_at(400))
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = rows._jdf.queryExecution().explainString(mode)
+    pushed = next(line for line in plan.split("\n") if line.startswith("PushedFilters"))
+    assert "GreaterThanOrEqual(key" in pushed and "LessThan(key" in pushed and "LessThanOrEqual(seqno" in pushed
+
+
 def test_prefix_end():
     assert codecs.prefix_end(b"a\xff") == b"b"
     assert codecs.prefix_end(b"\xff\xff") is None
