@@ -205,10 +205,10 @@ def similar_groups(texts):
             return group
 
 
-@pytest.mark.parametrize(("chunk", "batch", "sample"), [(1 << 24, 1 << 24, 1 << 24), (4000, 1, 9000)])
-def test_near_copies_are_those_of_jaccard(spark, monkeypatch, chunk, batch, sample):
-    for name, value in (("CHUNK_BYTES", chunk), ("BATCH_BYTES", batch), ("SAMPLE_BYTES", sample)):
-        monkeypatch.setattr(jaccard, name, value)
+@pytest.mark.parametrize(("chunk", "batch", "block", "bits"), [(1 << 24, 1 << 24, 1 << 24, 46), (4000, 1, 9000, 46), (1 << 24, 1 << 24, 9000, 12)])
+def test_near_copies_are_those_of_jaccard(spark, monkeypatch, chunk, batch, block, bits):
+    for module, name, value in ((jaccard, "CHUNK_BYTES", chunk), (jaccard, "BATCH_BYTES", batch), (blocks, "BLOCK_BYTES", block), (jaccard, "KEY_BITS", bits)):
+        monkeypatch.setattr(module, name, value)
     texts = near_copies()
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     group = similar_groups(texts)
