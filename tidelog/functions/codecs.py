@@ -213,10 +213,9 @@ def read_uvarint(data: bytes, at: int = 0) -> tuple[int, int] | None:
 
 def uvarints(column: Column) -> Column:
     """The numbers of a binary column of uvarints one after the other, as decimal strings; null if it is cut short."""
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
-    def read(values: pd.Series) -> pd.Series:
+    def read(values):
         def numbers(data):
             at, out = 0, []
             while data is not None and at < len(data):

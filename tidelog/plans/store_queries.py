@@ -61,15 +61,19 @@ def _store(spark: SparkSession, d: str) -> Store:
     """The users' log as a store of four commits, made once; whoever writes takes a branch of it."""
     made = (spark.sparkContext.applicationId, d)
     if made not in _MADE:
-        store = Store.create(spark, _folder(spark), "events")
-        ops = _ops(spark, d)
-        n = ops.count()
-        for k in range(4):
-            store.write_frame(ops.where((F.col("ord") >= n * k // 4) & (F.col("ord") < n * (k + 1) // 4)))
-        _MADE[made] = store.path
+        _MADE[made] = _written(spark, d, 4).path
     return Store(spark, _MADE[made])
 
 
+def _written(spark: SparkSession, d: str, commits: int) -> Store:
+    store = Store.create(spark, _folder(spark), "events")
+    ops = _ops(spark, d)
+    n = ops.count()
+    for k in range(commits):
+        store.write_frame(ops.where((F.col("ord") >= n * k // commits) & (F.col("ord") < n * (k + 1) // commits)))
+    return store
+
+
 def _branch(spark: SparkSession, d: str) -> Store:
     return _store(spark, d).fork(f"b{uuid.uuid4().hex[:12]}", _folder(spark))
 
@@ -171,7 +175,8 @@ def store_commit_validation(spark, d):
     """Transactions of one key each, begun at one snapshot."""
     store = _branch(spark, d)
     rows = []
-    at = store.snapshot_at(_seqno(store, 9950))
+    parent = _store(spark, d)
+    at = parent.snapshot_at(_seqno(parent, 9950))
     written = store.log().where(F.col("key").isin([k.encode() for k in _TRIED]))
     for key in sorted({bytes(r.key).decode() for r in written.select("key").distinct().collect()}):
         txn = Txn(store, at)
@@ -352,7 +357,7 @@ def store_forks(spark, d):
 @_query(EVENT_LOG + "SELECT key, seqno, kind, CASE WHEN kind = 1 THEN value END AS value FROM (SELECT *, row_number() OVER (PARTITION BY key, seqno <= 5000 ORDER BY seqno DESC) AS r FROM log) WHERE seqno > 5000 OR (r = 1 AND kind = 1)")
 def store_compaction(spark, d):
     """Segments merged by size, then everything rewritten under a pin at 5000."""
-    store = _branch(spark, d)
+    store = _written(spark, d, 2)
     store.compact_tier()
     store.pin("p", _seqno(store, 5000))
     store.compact()

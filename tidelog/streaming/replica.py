@@ -64,10 +64,9 @@ class Replica:
         """Takes what there is. When it has lagged too far, or the master no longer has what is missing, it takes a new slice."""
         try:
             at = self._master.snapshot()
-            rows = subscription.poll()
-            if rows is not None:
-                self.apply(rows.where(f"seqno <= {at.seqno}"), len(self.changes) + 1, at.seqno)
-            subscription.advance(at.seqno)
+            if at.seqno > subscription.position:
+                self.apply(subscription.poll().where(f"seqno <= {at.seqno}"), len(self.changes) + 1, at.seqno)
+                subscription.advance(at.seqno)
             return subscription
         except (errors.Lagged, errors.Gone):
             self.resyncs += 1

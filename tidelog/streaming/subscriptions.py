@@ -59,13 +59,11 @@ class Subscription:
         rows = self.store.log(at or self.store.snapshot(), self.lo, self.hi, after=self.position)
         return rows.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)).cast("long")).alias("n")).first().n or 0
 
-    def poll(self) -> DataFrame | None:
-        """The changes of the commits since the last poll, in seqno order; None if there is no commit. Lagged ends it."""
+    def poll(self) -> DataFrame:
+        """The changes of the commits past the position, in seqno order. Lagged ends it."""
         if self.ended:
             raise errors.Closed("the subscription has ended")
         at = self.store.snapshot()
-        if at.seqno == self.position:
-            return None
         if self.lag_bytes and self.lag(at) > self.lag_bytes:
             self.close()
             raise errors.Lagged(f"more than {self.lag_bytes} bytes behind at {self.position}")
@@ -81,8 +79,7 @@ class Subscription:
     def take(self) -> list:
         """The rows of a poll, and the position moved past them."""
         at = self.store.snapshot()
-        rows = self.poll()
-        got = [] if rows is None else rows.where(F.col("seqno") <= at.seqno).collect()
+        got = self.poll().where(F.col("seqno") <= at.seqno).collect() if at.seqno > self.position else []
         self.advance(at.seqno)
         return got
 
