@@ -21,6 +21,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm import common
 
@@ -207,9 +208,9 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text
         vocabulary = f.read()
     new = ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
-    # the text travels once more under a name of its own, so that keep needn't have it
-    (own,) = common.fresh(docs, "text_to_encode")
-    source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col(f"`{text_col}`").alias(own))
+    # columns travel under names of our own, the text once more beside them, so that no name matters and keep needn't have it
+    names = [f"c{i}" for i in range(len(carried))]
+    source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary, pattern, chunked)
@@ -227,11 +228,11 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, text_col: str = "text
                     pa.array([hashlib.sha256(b).hexdigest() for b in ids]),
                     pa.array([hashlib.sha256(codec.decode(b)).hexdigest() for b in ids]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=[*carried, *new])
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    schema = (types + ", " if types else "") + "n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string"
-    return source.mapInArrow(run, schema)
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    out = source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *added]))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(carried, names)), *new)
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "token_ids", out_col: str = "text") -> DataFrame:
