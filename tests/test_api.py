@@ -128,6 +128,52 @@ def test_frames(store):
     assert set(frames.OF_CODE.values()) <= set(frames.STATUS)
 
 
+def test_replication_frames(spark, store, tmp_path):
+    store.write([(PUT, b"a%d" % k, b"v%d" % k) for k in range(5)])
+    server = frames.Replication(store, lag_bytes=200)
+
+    def ask(op, payload=b""):
+        ((_, code, body),) = frames.frames(frames.frame(1, frames.REPLICATION_OPS[op], payload))
+        ((_, status, out),) = frames.frames(server.answer(1, code, body))
+        return next(k for k, v in frames.REPLICATION_STATUS.items() if v == status), out
+
+    def push():
+        ((request, code, out),) = frames.frames(server.push())
+        assert request == 0
+        return next(k for k, v in frames.REPLICATION_OPS.items() if v == code), out
+
+    status, out = ask("HELLO")
+    assert status == "OK" and out[8:].decode() == store.manifest().identity
+    status, out = ask("SNAPSHOT", frames.maybe(b"a1") + frames.maybe(b"a4"))
+    read = frames.Reader(out)
+    head, (path,) = read.number(8), [read.name() for _ in range(read.number(4))]
+    status, out = ask("FETCH_TABLE", frames.blob(path.encode()))
+    assert head == 5 and [(r[0], r[3], r[4]) for r in frames.unpacked(out)] == [(k + 1, b"a%d" % k, b"v%d" % k) for k in range(5)]
+    assert ask("SUBSCRIBE", frames.maybe(b"a") + frames.maybe(b"b") + struct.pack("<Q", head))[0] == "OK" and push()[0] == "PING"
+    store.write([(PUT, b"a1", b"new"), (0, b"a2", None), (PUT, b"zz", b"")])
+    kind, out = push()
+    assert kind == "STREAM" and struct.unpack_from("<Q", out) == (8,) and frames.unpacked(out[8:]) == [(6, 8, 1, b"a1", b"new"), (7, 8, 0, b"a2", None)]
+    store.put(b"a9", b"x" * 500)
+    assert push()[0] == "LAGGED"
+    store.compact()
+    assert ask("FETCH_TABLE", frames.blob(path.encode()))[0] == "GONE" and ask("SUBSCRIBE", frames.maybe(None) * 2 + struct.pack("<Q", 1))[0] == "GONE" and ask("SNAPSHOT", b"\x07")[0] == "BAD_FRAME"
+    bare = frames.Replication(Store.create(spark, f"file://{tmp_path}/bare"))
+    ((_, status, _),) = frames.frames(bare.answer(1, 0, b""))
+    assert status == frames.REPLICATION_STATUS["NO_IDENTITY"]
+
+
+def test_runs_that_take_too_long_are_cancelled(store):
+    from tidelog.sources.modules import Module
+
+    def endless(view, args):
+        return view.store.spark.range(10**12).selectExpr("sum(hash(id))").first()[0]
+
+    store.install("slow", Module(query=endless))
+    with pytest.raises(errors.ModuleError, match="longer"):
+        store.query("slow", seconds=2)
+    assert store.triggers().where("pending > 0").count() == 0 and store.backlog() == []
+
+
 def test_configuration():
     made = config.parse('dir = "/data"\nstore_name = "s"\n[engine]\ntrigger_batch = 7\n[journal]\ncompact_when_deltas_exceed = 3\n')
     assert made.dir == "/data" and made.engine.trigger_batch == 7 and made.journal.compact_when_deltas_exceed == 3.0 and made.graphql.fork_max_open == 8

@@ -301,6 +301,32 @@ def commit_boundaries(spark, d):
     return event_log(spark, d).groupBy("commit_seqno").agg(F.count("*").alias("ops"), F.min("seqno").alias("first_seqno"), F.max("seqno").alias("last_seqno"), F.count_distinct("key").alias("keys"))
 
 
+@_query("SELECT event_id FROM events WHERE event_type IN ('view', 'click')")
+def queue_orphans(spark, d):
+    """Queue rows of event types as triggers; those of two no longer exist."""
+    queue = table(spark, d, "events").select(F.col("event_type").alias("name"), "event_id")
+    return views.orphans(queue, queue.where("name NOT IN ('view', 'click')")).select("event_id")
+
+
+@_query("""WITH w AS (SELECT n_name AS name, CAST(n_regionkey % 3 AS VARCHAR) AS field FROM nation UNION ALL SELECT r_name, 'r' FROM region),
+  h AS (SELECT n_name AS name, CAST(n_regionkey % 2 AS VARCHAR) AS active_field FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT 'old ' || r_name, 'x' FROM region)
+  SELECT coalesce(w.name, h.name) AS name, CASE WHEN h.name IS NULL THEN 'create' WHEN w.name IS NULL THEN 'drop' ELSE 'swap' END AS action, field, active_field
+  FROM w FULL JOIN h ON w.name = h.name WHERE h.name IS NULL OR w.name IS NULL OR field <> active_field""")
+def index_spec_changes(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    want = nation.select(F.col("n_name").alias("name"), (F.col("n_regionkey") % 3).cast("string").alias("field")).union(region.select("r_name", F.lit("r")))
+    have = nation.where("n_nationkey >= 5").select(F.col("n_name").alias("name"), (F.col("n_regionkey") % 2).cast("string").alias("field")).union(region.select(F.concat(F.lit("old "), "r_name"), F.lit("x")))
+    return views.spec_changes(want, have)
+
+
+@_query("SELECT doc_id, octet_length(encode(text)) > 4096 AS elided, sha256(text) AS value_sha256 FROM documents")
+def elided_current(spark, d):
+    """Changes whose long values were left out, read from the current state."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value"))
+    changes = views.elide(docs.withColumn("kind", F.lit(1)), 4096)
+    return views.current_values(changes, docs).select(F.col("key").alias("doc_id"), "elided", F.sha2("value", 256).alias("value_sha256"))
+
+
 # ---- retention, branches, recovery, replicas --------------------------------------------------
 
 
@@ -391,6 +417,22 @@ def key_display(spark, d):
     return table(spark, d, "nation").select("n_name", codecs.display_key(F.col("n_name")).alias("shown"))
 
 
+@_query("SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS segment, o_orderkey % 3 = 0 AS other FROM orders")
+def key_segments(spark, d):
+    rows = order_records(spark, d)
+    key = F.when(F.col("id") % 3 == 0, F.concat("key", F.lit("/line"))).otherwise(F.col("key"))
+    return rows.select(F.col("id").alias("o_orderkey"), codecs.key_segment(key, "orders/", r"\d{8}").alias("segment"), (codecs.key_segment(key, "lines/").isNull() & key.contains("/line")).alias("other"))
+
+
+@_query("SELECT doc_id, sha256(text) AS from_base64, sha256(text) AS from_hex, true AS refused FROM documents WHERE text <> ''")
+def bytes_decoding(spark, d):
+    """Base64 and hex read back; what isn't of their form is refused."""
+    raw = F.col("text").cast("binary")
+    b64, digits = codecs.to_base64(raw), F.hex(raw)
+    refused = codecs.parse_base64(F.concat(F.lit("!"), b64)).isNull() & codecs.parse_hex(F.concat(digits, F.lit("a"))).isNull()
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.sha2(codecs.parse_base64(b64), 256).alias("from_base64"), F.sha2(codecs.parse_hex(digits), 256).alias("from_hex"), refused.alias("refused"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
