@@ -537,6 +537,14 @@ def test_secrets_are_those_of_plain_loops(spark, seed):
     assert ordered((r.doc_id, tuple((s.start, s.kind, s.end, s.example) for s in r.found)) for r in got) == ordered(want)
 
 
+def test_rows_that_a_table_cannot_concern(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h")).union(spark.createDataFrame([(-1, None)], "id long, h long"))
+    table = spark.range(0, 20_000, 50).select(F.xxhash64("id").alias("g"))
+    got = {r.id: r.perhaps for r in common.perhaps_in(rows, "h", table, "g", "perhaps").collect()}
+    assert all(got[k] for k in range(0, 20_000, 50)) and not got[-1] and sum(got.values()) < 450 and len(got) == 20_001
+    assert not any(r.perhaps for r in common.perhaps_in(rows, "h", table.limit(0), "g", "perhaps").collect())
+
+
 def test_hot_keys_are_spread(spark):
     rows = spark.createDataFrame([(1, k) for k in range(3000)] + [(k, k) for k in range(2, 50)] + [(None, 0)], "key long, n long")
     table = spark.createDataFrame([(k, f"v{k}") for k in range(40)], "key long, v string")

@@ -241,3 +241,21 @@ def spread_join(rows: DataFrame, table: DataFrame, key: list[str], how: str = "i
     parts = F.when(F.col("_spread_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
     right = marked(table).withColumn("_spread_part", F.explode(parts)).drop("_spread_hot")
     return left.join(right, [*key, "_spread_part"], how).drop("_spread_part")
+
+
+#: Bits of the map by which rows that a table can't concern are told, in pieces of 32768: half a megabyte, however large the table.
+MAP_BITS, PIECE_BITS = 1 << 22, 1 << 15
+
+
+def perhaps_in(rows: DataFrame, value: str, table: DataFrame, of: str, flag: str) -> DataFrame:
+    """rows with flag, true for all whose hash `value` is among those of the table's column `of`, and by chance for some others.
+
+    With more hashes than bits it tells nothing, and rows are true throughout. Null is false.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(MAP_BITS))
+    pieces = table.select(place(of).alias("_at")).groupBy(F.floor(F.col("_at") / PIECE_BITS).alias("_piece")).agg(F.bitmap_construct_agg((F.col("_at") % PIECE_BITS).cast("long")).alias("_bits"))
+    pieces = F.broadcast(materialize(pieces, "hash-map"))
+    at = rows.withColumn("_at", place(value) % PIECE_BITS).withColumn("_of", F.floor(place(value) / PIECE_BITS))
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    found = F.floor(byte / F.pow(F.lit(2.0), F.col("_at") % 8)) % 2 == 1
+    return at.join(pieces, F.col("_of") == F.col("_piece"), "left").withColumn(flag, F.coalesce(found, F.lit(False))).drop("_at", "_of", "_piece", "_bits")

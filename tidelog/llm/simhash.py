@@ -278,11 +278,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 4, id_col: str = "
     marks = found.join(first, "component_id").select("doc_id", "text_hash", ((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.col("first"))).alias("gone"), (F.col("rows") > 1).alias("again"))
     marks = common.materialize(marks.where("gone or again"), "marks")
     keyed = docs.select(common.row_of(docs), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.rlike(common.WORD).alias("worded"))
-    joined = keyed.join(marks, F.col("worded") & (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left").where(~F.coalesce("gone", F.lit(False)))
-    if marks.where("again and not gone").isEmpty():
-        return joined.select("row.*")
+    # most rows aren't marked, and half a megabyte tells most of them: only the others are dealt out to be joined
+    keyed = common.perhaps_in(keyed, "hash", marks, "text_hash", "perhaps")
+    rest = keyed.where(~F.col("perhaps")).select("row")
+    joined = keyed.where("perhaps").join(marks, F.col("worded") & (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left").where(~F.coalesce("gone", F.lit(False)))
     again = F.coalesce("again", F.lit(False))
-    return joined.where(~again).select("row").union(joined.where(again).dropDuplicates(["id", "hash"]).select("row")).select("row.*")
+    once = joined.where(again).dropDuplicates(["id", "hash"]).select("row")
+    return rest.unionByName(joined.where(~again).select("row")).unionByName(once).select("row.*")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
