@@ -522,6 +522,29 @@ def test_forks_are_listed_deleted_and_restored(spark, store, tmp_path):
     assert back.seqno() == 4
 
 
+def test_scans_of_a_view(store):
+    store.write(puts(3))
+    view = store.begin()
+    assert list(view.entries(b"k001")) == [(b"k001", b"v1"), (b"k002", b"v2")]
+    keys = store.query(lambda v, args: v.keys())
+    assert [bytes(r.key) for r in keys.collect()] == [b"k000", b"k001", b"k002"]
+    with pytest.raises(errors.ModuleError):
+        store.query(lambda v, args: [v.scan() for _ in range(65)])
+
+
+def test_key_filters_are_stored(spark, store, tmp_path):
+    """Segments carry a Bloom filter of their keys, beside the ranges."""
+    store.write(puts(3))
+    files = list((tmp_path / "main/segments").glob("*/part-*.parquet"))
+    reader = spark.sparkContext._jvm.org.apache.parquet.hadoop.ParquetFileReader
+    source = spark.sparkContext._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(files[0])), spark.sparkContext._jsc.hadoopConfiguration())
+    opened = reader.open(source)
+    block = opened.getFooter().getBlocks().get(0)
+    filters = {c.getPath().toDotString(): opened.readBloomFilter(c) is not None for c in block.getColumns()}
+    opened.close()
+    assert filters["key"] and not filters["value"]
+
+
 def test_read_only_view_and_snapshots(store):
     store.put(b"a", b"1")
     with pytest.raises(errors.InvalidArgument):

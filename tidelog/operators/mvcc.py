@@ -2,7 +2,8 @@
 
 kind is 1 for a put and 0 for a delete. The state at a seqno is, for each key, the newest
 version at or below it, deletes hidden; one partially aggregated max per key finds it, no sort.
-Filters on key and seqno stay plain predicates, so Parquet skips files and row groups.
+Filters on key and seqno stay plain predicates: over stored segments they reach the Parquet scan,
+over a log that is derived from other tables they don't. `latest` gives a state without order.
 """
 
 from __future__ import annotations
@@ -110,6 +111,11 @@ def compact(log: DataFrame, watermark: int) -> DataFrame:
     return log.withColumn("__keep", keep).where("__keep").drop("__keep")
 
 
+def garbage(log: DataFrame) -> DataFrame:
+    """The versions whose values no read of the head needs: all but those that the state points at, by key and seqno."""
+    return log.join(latest(log).select("key", "seqno"), ["key", "seqno"], "left_anti")
+
+
 def watermark(head: int, *holds: int) -> int:
     return min(holds, default=head + 1)
 

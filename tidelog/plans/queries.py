@@ -391,6 +391,11 @@ def gc_victim_ratio(spark, d):
     return views.gc_candidates(log.groupBy(file).agg(F.count("*").alias("size")), live, 0.5)
 
 
+@_query(EVENT_LOG + "SELECT (seqno - 1) // 1000 AS file, count(*) AS rows FROM (SELECT *, lead(seqno) OVER (PARTITION BY key ORDER BY seqno) AS nxt FROM log) WHERE nxt IS NOT NULL OR kind = 0 GROUP BY 1")
+def gc_garbage_rows(spark, d):
+    return mvcc.garbage(event_log(spark, d)).groupBy(F.floor((F.col("seqno") - 1) / 1000).alias("file")).agg(F.count("*").alias("rows"))
+
+
 @_query(EVENT_LOG + "SELECT CASE WHEN seqno <= 2500 THEN 0 WHEN seqno <= 5000 THEN 1 ELSE 2 END AS level, count(*) AS entries, count(DISTINCT key) AS keys, CAST(sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tombstones, min(seqno) AS min_seqno, max(seqno) AS max_seqno FROM log GROUP BY 1")
 def stats_levels(spark, d):
     level = F.when(F.col("seqno") <= 2500, 0).when(F.col("seqno") <= 5000, 1).otherwise(2)
