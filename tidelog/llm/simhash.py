@@ -275,7 +275,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 4, id_col: str = "
     found = common.materialize(found.where("doc_id is not null").groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("rows")), "found")
     # of the rows that bear their component's id the one of least text hash stays: ids needn't be unique
     first = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first"))
-    marks = found.join(first, "component_id").select("doc_id", "text_hash", ((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.col("first"))).alias("gone"), (F.col("rows") > 1).alias("again"))
+    marks = common.spread_join(found, first, ["component_id"]).select("doc_id", "text_hash", ((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.col("first"))).alias("gone"), (F.col("rows") > 1).alias("again"))
     marks = common.materialize(marks.where("gone or again"), "marks")
     keyed = docs.select(common.row_of(docs), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.rlike(common.WORD).alias("worded"))
     # most rows aren't marked, and half a megabyte tells most of them: only the others are dealt out to be joined
