@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog import errors
+from tidelog.sources.files import Files
 from tidelog.sources.store import COMPLETE, DELETE, PUT, Store, Txn, pick_tier
 from tidelog.streaming import journal, subscriptions
 from tidelog.streaming.replica import Replica
@@ -61,6 +62,25 @@ def test_torn_manifest_was_never_committed(spark, store, tmp_path):
     assert len(state(Store(spark, store.path))) == 4
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_a_name_is_published_once(spark, tmp_path, monkeypatch, local):
+    """By a link, and as on other file systems by a rename that doesn't overwrite."""
+    files = Files(spark)
+    monkeypatch.setattr(Files, "_is_local", staticmethod(lambda fs: local))
+    at = f"file://{tmp_path}/folder/name.json"
+    assert files.publish(at, "first") and not files.publish(at, "second") and files.read(at) == "first"
+    taken, real = [], Files.put_bytes
+
+    def late(self, path, data):
+        real(self, path, data)
+        if not taken:
+            taken.append(real(self, f"file://{tmp_path}/folder/other.json", b"theirs"))
+
+    monkeypatch.setattr(Files, "put_bytes", late)
+    assert not files.publish(f"file://{tmp_path}/folder/other.json", "mine") and files.read(f"file://{tmp_path}/folder/other.json") == "theirs"
+    assert sorted(files.names(f"file://{tmp_path}/folder")) == ["name.json", "other.json"]
+
+
 def test_no_manifest_is_ever_seen_in_part(store, tmp_path):
     seen, stop = [], threading.Event()
 

@@ -34,9 +34,8 @@ class Files:
         folder, name = path.rsplit("/", 1)
         draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
         self.put_bytes(draft, text.encode())
-        local = fs.getScheme() == "file"
         try:
-            if local:
+            if self._is_local(fs):
                 none = self.array(self.jvm.java.lang.String, 0)
                 at = [self.jvm.java.nio.file.Paths.get(self._at(x)[1].toUri().getPath(), none) for x in (path, draft)]
                 self.jvm.java.nio.file.Files.createLink(*at)
@@ -53,6 +52,10 @@ class Files:
         finally:
             self.delete(draft)
 
+    @staticmethod
+    def _is_local(fs) -> bool:
+        return fs.getScheme() == "file"
+
     def read_bytes(self, path: str) -> bytes | None:
         fs, p = self._at(path)
         if not fs.exists(p):
