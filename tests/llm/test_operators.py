@@ -553,6 +553,14 @@ def test_hot_keys_are_spread(spark):
         assert out.count() == n and out.columns == ["key", "n", "v"] and {r.v for r in out.where("key = 1").collect()} == {"v1"}
     plan = common.spread_join(rows, table, ["key"])._jdf.queryExecution().optimizedPlan().toString()
     assert "_spread_part" in plan
+    # a table that is dealt by the key already doesn't undo the parts
+    grouped = table.groupBy("key").agg(F.max("v").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = common.spread_join(rows, grouped, ["key"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert dealt.count("hashpartitioning(key") >= 2 and dealt.count("_spread_part#") and re.search(r"hashpartitioning\(key#\d+L?, _spread_part#\d+", dealt)
 
 
 @pytest.mark.parametrize("size", [256, 257, 342, 5000])

@@ -38,7 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 #: Drops the shuffle files of an execution when it ends, rather than when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Lets two sides dealt by one column be joined by it and more columns without another exchange.
+#: Lets two sides dealt by one column be joined by it and more columns without another exchange. Never together with spread_join, whose parts it would undo.
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 #: From so many groups in a task on, collected lists are sorted together rather than hashed.
 HASHED_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -68,7 +68,7 @@ def materialize(df: DataFrame, label: str, more: dict[str, str] | None = None) -
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    with settings(spark, {CLEANUP: "true", CO_PARTITION: "false"} | (more or {})):
+    with settings(spark, {CLEANUP: "true"} | (more or {})):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

@@ -191,7 +191,7 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, held_out: bool =
             asked = dealt.groupBy("block").applyInArrow(first, CELLS)
         else:
             asked = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(later(k), CELLS)
-        answered = common.materialize(replies_to(asked, 1 << bits).withColumn("round", F.lit(k)), "ngram-counts", {common.HASHED_GROUPS: str(1 << 20), common.TWO_MAPS: "false"})
+        answered = common.materialize(replies_to(asked, 1 << bits).withColumn("round", F.lit(k)), "ngram-counts", {common.CO_PARTITION: "false", common.HASHED_GROUPS: str(1 << 20), common.TWO_MAPS: "false"})
         replies = answered if replies is None else replies.unionByName(answered)
 
     def run(rows: pa.Table, got: pa.Table) -> pa.Table:
