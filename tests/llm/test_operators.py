@@ -216,6 +216,29 @@ def test_near_copies_are_those_of_jaccard(spark, monkeypatch, chunk, batch, bloc
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(k for k in group if group[k] == k)
 
 
+def test_near_copies_within_the_budget_come_from_the_trie_alone(spark, monkeypatch):
+    texts = near_copies()
+    texts += [(1000 + k, t + " end") for k, t in texts if len(t.split()) > 100]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = {k: jaccard.shingles(t.encode(), 5) for k, t in texts}
+    prints = {k: jaccard.fingerprint(x) for k, x in sets.items()}
+    same = {(a, b): 5 * (both := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (len(sets[a]) + len(sets[b]) - both) for a in sets for b in sets if a < b}
+    far = {k: k for k in sets}
+    while True:  # classes without the links of one to four bits
+        before = dict(far)
+        for (a, b), linked in same.items():
+            if linked and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() not in range(1, 5):
+                far[a] = far[b] = min(far[a], far[b])
+        if far == before:
+            break
+    kept = lambda: sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    whole = similar_groups(texts)
+    assert kept() == sorted(k for k in whole if whole[k] == k)
+    monkeypatch.setattr(simhash, "links", lambda prints, *_: prints.selectExpr("fp AS a", "fp AS b").where("false"))
+    assert (without := kept()) != sorted(k for k in whole if whole[k] == k)
+    assert without == sorted(k for k in far if far[k] == k)
+
+
 # ---- 3 ----
 
 

@@ -264,14 +264,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, agree: i
 def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near copies (Jaccard similarity of 0.8 or more, verified) of a document that stays: of each component the row of least id.
 
-    Candidates are the links of the trie of fingerprints within budget, and, as no small budget
-    holds the 0.8 line, texts that share a rare shingle; each is verified, so the links kept are all
-    pairs of 0.8 or more and no others. Rows without words, or with a null id, stay all. Of rows
-    with equal ids and equal texts one stays; rows with equal ids and other texts are documents of
-    their own. Columns may have any names. Empty in, empty out.
+    Candidates within budget bits come from the links of the trie of fingerprints alone. As no
+    small budget holds the 0.8 line, the pairs beyond it, and no others, come from shared rare
+    shingles; each is verified, so the links kept span all pairs of 0.8 or more and no others.
+    Rows without words, or with a null id, stay all. Of rows with equal ids and equal texts one
+    stays; rows with equal ids and other texts are documents of their own. Columns may have any names. Empty in, empty out.
     """
     text = F.col(f"`{text_col}`")
-    found = jaccard.components(docs.where(text.rlike(common.WORD)).select(id_col, text_col), shingle, id_col, text_col, lambda prints: links(prints, budget))
+    found = jaccard.components(docs.where(text.rlike(common.WORD)).select(id_col, text_col), shingle, id_col, text_col, lambda prints: links(prints, budget), budget)
     found = common.materialize(found.where("doc_id is not null").groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("rows")), "found")
     # of the rows that bear their component's id the one of least text hash stays: ids needn't be unique
     first = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first"))
